@@ -54,11 +54,11 @@ def rank_in_groups(
 ) -> DataFrame:
     """1..n position inside each group; equals row_number over (keys order by sort)."""
     laid = range_layout(df, keys, sort)
-    spans = laid.groupBy(*keys, PART).agg(F.min(POS).alias("_first"), F.count("*").alias("_n"))
-    offsets = _earlier_parts(spans, keys, {"_before": "_n"}).drop("_n")
+    spans = laid.groupBy(*keys, PART).agg(F.min(POS).alias("_rank_start"), F.count("*").alias("_rank_rows"))
+    offsets = _earlier_parts(spans, keys, {"_rank_before": "_rank_rows"}).drop("_rank_rows")
     ranked = match_join(laid, offsets, [*keys, PART])
-    return ranked.withColumn(name, (F.col(POS) - F.col("_first") + F.col("_before") + 1).cast("bigint")).drop(
-        PART, POS, "_first", "_before"
+    return ranked.withColumn(name, (F.col(POS) - F.col("_rank_start") + F.col("_rank_before") + 1).cast("bigint")).drop(
+        PART, POS, "_rank_start", "_rank_before"
     )
 
 
