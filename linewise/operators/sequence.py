@@ -11,6 +11,7 @@ from linewise.config import AnalysisConfig
 from linewise.functions import is_defect_status
 from linewise.operators.joining import match_join
 from linewise.operators.ordering import BLOCK, consecutive_runs, number_rows, rank_in_groups
+from linewise.session import cut_lineage
 
 CODE_GROUP = ["analysis_scope", "station_id", "source_type"]
 
@@ -93,7 +94,8 @@ def period_candidates(
     if tolerance > 0 or not primes:
         periods = F.sequence(F.lit(low), F.lit(high))
         return passing(_residue_counts(enough, group, order, periods, tolerance))
-    first = passing(_residue_counts(enough, group, order, F.array(*map(F.lit, primes)), 0))
+    # few rows survive; stored once because two later steps read them
+    first = cut_lineage(passing(_residue_counts(enough, group, order, F.array(*map(F.lit, primes)), 0)))
     composites = [n for n in range(max(low, 4), high + 1) if n not in primes]
     kept = first.where(F.col("period") >= low)
     if low == 1:
@@ -197,14 +199,17 @@ def classify_sequences(
 
     ``burst_reports_run`` makes a burst row count the run only.
     """
-    summary = observed.where(F.col(order).isNotNull()).groupBy(*keys).agg(
-        F.min(order).cast("bigint").alias("_min"), F.max(order).cast("bigint").alias("_max")
+    runs = consecutive_runs(observed, keys, order).groupBy(*keys).agg(
+        F.min("run_start").alias("_min"), F.max("run_end").alias("_max"), F.sum("run_length").alias("_n"),
+        F.max(F.struct("run_length", (-F.col("run_start")).alias("_start"), "run_end")).alias("_run"),
     )
     fits = fit_period(observed, keys, order, config, eligible, eligible_keys, eligible_order)
     fits = fits.drop("occurrence_count", "matched_count")
-    runs = longest_run(observed, keys, order)
-    sizes = consecutive_runs(observed, keys, order).groupBy(*keys).agg(F.sum("run_length").alias("_n"))
-    rows = match_join(match_join(match_join(summary, sizes, keys), runs, keys), fits, keys, "left")
+    flat = runs.select(
+        *keys, "_min", "_max", "_n", F.col("_run.run_length").alias("run_length"),
+        (-F.col("_run._start")).alias("run_start"), F.col("_run.run_end").alias("run_end"),
+    )
+    rows = match_join(flat, fits, keys, "left")
     periodic = F.col("period").isNotNull()
     burst = ~periodic & (F.col("run_length") >= config.burst_minimum_length)
     rows = rows.where(

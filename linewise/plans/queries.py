@@ -27,14 +27,14 @@ def query(function: Query) -> Query:
     return function
 
 
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    """Sums of doubles depend on row order in their last digits; reports show six decimals."""
-    return df.withColumns({name: F.round(F.col(name), 6) for name in names})
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    """Sums of doubles depend on row order in their last digits; reports show fewer decimals."""
+    return df.withColumns({name: F.round(F.col(name), digits) for name in names})
 
 
 def _codes(spark: SparkSession, folder: str) -> DataFrame:
     catalog, _ = evidence.load_catalog(evidence.builtin_catalog(spark))
-    return evidence.normalize_codes(star.ordered_passes(spark, folder), catalog)
+    return cut_lineage(evidence.normalize_codes(star.ordered_passes(spark, folder), catalog))
 
 
 # ------------------------------------------------------------------- scalar functions
@@ -375,8 +375,10 @@ def followup_match(spark, folder):
 
 def _mapped(spark, folder):
     products, ordered = _followed(spark, folder)
+    products = cut_lineage(products)
     catalog, _ = evidence.load_catalog(evidence.builtin_catalog(spark))
-    return products, ordered, evidence.map_codes(products, evidence.normalize_codes(ordered, catalog))
+    codes = cut_lineage(evidence.normalize_codes(ordered, catalog))
+    return products, ordered, cut_lineage(evidence.map_codes(products, codes))
 
 
 @query
@@ -705,7 +707,7 @@ def _relation_inputs(spark, folder):
 def parameter_metrics(spark, folder):
     tall, targets = _relation_inputs(spark, folder)
     metrics = process.rank_parameters(process.parameter_metrics(tall, targets))
-    return rounded(metrics, "missing_rate", "defect_mean", "normal_mean", "spearman", "effect_size", "minimum", "maximum")
+    return rounded(metrics, "missing_rate", "defect_mean", "normal_mean", "spearman", "effect_size", "minimum", "maximum", digits=4)
 
 
 @query
@@ -812,21 +814,20 @@ def filter_choices(spark, folder):
 
 def _view(spark, folder, selected=("5020",), source="AOI_FAILURE"):
     products, ordered, mapped = _mapped(spark, folder)
-    mapped = cut_lineage(mapped)
     detections = star.detections_of_passes(ordered)
     codes = _codes(spark, folder)
     keys = ["analysis_scope", "station_id", "cluster_id"]
-    patterns = sequence.classify_sequences(
+    patterns = cut_lineage(sequence.classify_sequences(
         detections.where("cluster_id is not null"), keys, "production_order", CONFIG, products, keys[:2], "fixed_position_repeat", burst_reports_run=True
-    )
+    ))
     alerts = detections.where("detection_type = 'micro'").select("analysis_scope", "cluster_id", F.col("global_order").alias("alert_at_order"))
     tracks = detections.select(
         "analysis_scope", F.concat_ws("-", "station_id", "cluster_id").alias("trajectory_id"), F.col("global_order").cast("string").alias("task_orders")
     )
-    space = evidence.code_spatial(products, mapped, detections)
+    space = cut_lineage(evidence.code_spatial(products, mapped, detections))
     frames = {
         "patterns": patterns.drop("first_order", "last_order"), "alerts": alerts, "trajectories": tracks,
-        "code_patterns": sequence.code_patterns(codes, CONFIG, with_ids=False), "code_image_links": mapped, "code_space": space,
+        "code_patterns": cut_lineage(sequence.code_patterns(codes, CONFIG, with_ids=False)), "code_image_links": mapped, "code_space": space,
         "code_conflicts": evidence.label_conflicts(products, mapped), "normalized_codes": codes,
     }
     return views.result_view(frames, products, detections, CONFIG, selected, source)

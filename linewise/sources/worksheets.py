@@ -17,7 +17,7 @@ from linewise.fixed_values import (
     RESULT_LABEL_TOKENS, STATION_HEADER_ALIASES, VI_CODE_HEADER, VI_PROFILE_HEADERS,
 )
 from linewise.functions import blank_to_null, clean_text, is_blank, mixed_timestamp, norm_key, pass_state, tolerance_bounds
-from linewise.operators.ordering import nearest_non_null
+from linewise.session import cut_lineage
 from linewise.sources.stations import resolve_station
 
 SHEET = ["file", "sheet"]
@@ -63,28 +63,53 @@ def pick(cells: Column, position: Column) -> Column:
 # ----------------------------------------------------------------- station worksheets
 
 def worksheet_blocks(rows: DataFrame) -> DataFrame:
-    """Data rows with the header, title and first row of the block they belong to.
+    """Data rows with the block (header, title, column roles) they belong to.
 
     A row with an identity header opens a block. The title is the row before it when
     that row has exactly one filled cell, else the sheet name. A title row is not
-    data; every other row stays.
+    data; every other row stays. Column roles are worked out once per header row;
+    the blocks of a sheet travel as one array to its rows (a sheet has few headers),
+    so data rows are neither sorted nor shuffled to find theirs.
     """
     is_header = F.exists(normalised(F.col("cells")), lambda key: key.isin(STATION_KEYS))
-    flagged = rows.withColumn("_header", F.when(is_header, F.col("row_idx")))
-    headers = flagged.where("_header is not null").select(*SHEET, F.col("row_idx").alias("block_row"), F.col("cells").alias("header"))
     filled = F.filter("cells", lambda cell: ~is_blank(cell))
     titles = rows.where(F.size(filled) == 1).select(
-        *SHEET, (F.col("row_idx") + 1).alias("block_row"), F.col("row_idx").alias("_title_row"),
-        blank_to_null(F.get("cells", F.lit(0))).alias("_title"),
+        *SHEET, (F.col("row_idx") + 1).alias("row_idx"), F.col("row_idx").alias("title_row"),
+        blank_to_null(F.get("cells", F.lit(0))).alias("title"),
     )
-    blocks = headers.join(titles, [*SHEET, "block_row"], "left")
-    placed = nearest_non_null(flagged, SHEET, ["row_idx"], "_header", "block_row", "_later")
-    title_rows = blocks.where("_title_row is not null").select(*SHEET, F.col("_title_row").alias("row_idx"))
-    data = placed.where(
-        F.col("_header").isNull() & F.col("block_row").isNotNull() & ~is_blank(F.get("cells", F.lit(0)))
-    ).select(*SHEET, "row_idx", "block_row", "cells").join(title_rows, [*SHEET, "row_idx"], "left_anti")
-    return data.join(
-        blocks.select(*SHEET, "block_row", "header", F.coalesce("_title", "sheet").alias("title")), [*SHEET, "block_row"]
+    headers = rows.where(is_header).join(titles, [*SHEET, "row_idx"], "left").select(
+        *SHEET, F.col("row_idx").alias("block_row"), "title_row", F.coalesce("title", "sheet").alias("title"),
+        normalised(F.col("cells")).alias("keys"), originals(F.col("cells")).alias("names"),
+    )
+    roles = _column_roles(cut_lineage(headers))
+    fields = [name for name in roles.columns if name not in SHEET]
+    blocks = roles.groupBy(*SHEET).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_blocks"))
+    placed = rows.where(~is_blank(F.get("cells", F.lit(0)))).join(blocks, SHEET).where(
+        ~F.exists("_blocks", lambda b: (b["block_row"] == F.col("row_idx")) | b["title_row"].eqNullSafe(F.col("row_idx")))
+    )
+    own = F.try_element_at(F.filter("_blocks", lambda b: b["block_row"] <= F.col("row_idx")), F.lit(-1))
+    return placed.select(*SHEET, "row_idx", "cells", own.alias("block")).where("block is not null")
+
+
+def _column_roles(headers: DataFrame) -> DataFrame:
+    """Canonical positions, parameter columns and result labels of every header row."""
+    placed = headers.withColumns({
+        f"at_{name}": alias_position(F.col("keys"), aliases, last=True) for name, aliases in STATION_HEADER_ALIASES.items()
+    })
+    core = F.array_compact(F.array(*[F.col(f"at_{name}") for name in STATION_HEADER_ALIASES]))
+    columns = F.transform("names", lambda name, i: F.struct(
+        name.alias("name"), F.get("keys", i).alias("key"), (i + 1).alias("at"),
+        F.when(F.coalesce(F.get("keys", i + 1), F.lit("")).startswith("tolerance"), i + 2).alias("tolerance_at"),
+        F.array_contains(F.slice("names", i + 2, F.size("names")), name).alias("again"),
+    ))
+    listed = placed.withColumn("columns", columns).withColumn("core", core)
+    is_parameter = lambda c: (c["name"] != "") & ~F.array_contains("core", c["at"]) & ~c["key"].startswith("tolerance")
+    return listed.select(
+        *SHEET, "block_row", "title_row", "title", *[f"at_{name}" for name in STATION_HEADER_ALIASES],
+        F.array_contains("keys", "uniquepartidentno").alias("is_package"),
+        F.filter("columns", is_parameter).alias("parameters"),
+        F.filter("columns", lambda c: _has_token(c["key"], RESULT_LABEL_TOKENS)).alias("labels"),
+        F.filter("columns", lambda c: (c["name"] != "") & ~c["again"]).alias("named"),
     )
 
 
@@ -96,62 +121,50 @@ def sheets_without_blocks(rows: DataFrame) -> DataFrame:
 
 def station_tables(blocks: DataFrame, stations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, parameters, package) of worksheet blocks, before event clean-up."""
-    keyed = blocks.withColumn("_keys", normalised(F.col("header"))).withColumn("_names", originals(F.col("header")))
-    positions = {name: alias_position(F.col("_keys"), aliases, last=True) for name, aliases in STATION_HEADER_ALIASES.items()}
-    placed = keyed.withColumns({f"_p_{name}": position for name, position in positions.items()})
-    typed = placed.withColumns({name: blank_to_null(pick(F.col("cells"), F.col(f"_p_{name}"))) for name in positions})
-    typed = typed.where("dmc_raw is not null")
-    is_package = F.array_contains("_keys", "uniquepartidentno")
-    package = typed.where(is_package).select(
-        "dmc_raw", F.col("file").alias("source_file"), F.col("sheet").alias("source_sheet"), F.col("row_idx").alias("source_row"),
-        F.map_from_entries(_named_cells(F.col("_names"), F.col("cells"))).alias("fields"),
+    fields = list(STATION_HEADER_ALIASES)
+    typed = blocks.select(
+        *SHEET, "row_idx", "cells", "block",
+        *[blank_to_null(pick(F.col("cells"), F.col(f"block.at_{name}"))).alias(name) for name in fields],
+    ).where("dmc_raw is not null")
+    values = lambda entries: F.filter(
+        F.transform(entries, lambda c: F.struct(
+            c["name"].alias("name"), c["key"].alias("key"), pick(F.col("cells"), c["at"]).alias("value"),
+            pick(F.col("cells"), c["tolerance_at"]).alias("tolerance"),
+        )),
+        lambda c: ~is_blank(c["value"]),
     )
-    core = F.array_compact(F.array(*[F.col(f"_p_{name}") for name in positions]))
-    cells = F.transform("_names", lambda name, i: F.struct(
-        name.alias("name"), F.get("_keys", i).alias("key"), (i + 1).alias("at"),
-        F.when(i < F.size("cells"), F.get("cells", i)).alias("value"),
-        F.when(F.get("_keys", i + 1).startswith("tolerance"), pick(F.col("cells"), i + 2)).alias("tolerance"),
-    ))
-    is_parameter = lambda cell: (
-        (cell["name"] != "") & ~F.array_contains(core, cell["at"]) & ~cell["key"].startswith("tolerance") & ~is_blank(cell["value"])
+    named = F.transform("block.named", lambda c: F.struct(c["name"].alias("key"), pick(F.col("cells"), c["at"]).alias("value")))
+    package = typed.where("block.is_package").select(
+        "dmc_raw", F.col("file").alias("source_file"), F.col("sheet").alias("source_sheet"), F.col("row_idx").alias("source_row"),
+        F.map_from_entries(named).alias("fields"),
     )
-    labels = F.filter(cells, lambda cell: _has_token(cell["key"], RESULT_LABEL_TOKENS) & ~is_blank(cell["value"]))
-    events = typed.where(~is_package).select(
-        F.concat_ws(":", "sheet", "title", "row_idx").alias("event_id"), "dmc_raw", F.col("title").alias("station_title"),
+    events = typed.where("not block.is_package").select(
+        F.concat_ws(":", "sheet", "block.title", "row_idx").alias("event_id"), "dmc_raw", F.col("block.title").alias("station_title"),
         mixed_timestamp(F.col("test_date")).alias("test_date"), F.coalesce("state_raw", F.lit("")).alias("state_raw"),
         pass_state(F.col("state_raw")).alias("state"), F.col("file").alias("source_file"), F.col("sheet").alias("source_sheet"),
         F.col("row_idx").alias("source_row"), "line", "st", "si", "fu", "wp", "tp", "ttnr", "variant", "batch",
-        _first_label(labels, AOI_CODE_HEADERS).alias("aoi_failure_code"),
-        _first_label(labels, [VI_CODE_HEADER]).alias("block_code"),
-        F.array_join(
-            F.transform(F.filter(labels, lambda cell: _has_token(cell["key"], FAILURE_CODE_TOKENS)), lambda cell: F.trim(cell["value"])), ";"
-        ).alias("failure_codes"),
-        F.filter(cells, is_parameter).alias("_cells"),
+        values(F.col("block.labels")).alias("_labels"), values(F.col("block.parameters")).alias("_cells"),
     )
-    resolved = resolve_station(events, stations).withColumn("parameter_count", F.size("_cells"))
-    parameters = resolved.select(
+    resolved = resolve_station(events, stations)
+    codes = F.filter("_labels", lambda c: _has_token(c["key"], FAILURE_CODE_TOKENS))
+    finished = resolved.select(
+        *[name for name in resolved.columns if name not in ("_labels", "_cells")],
+        _first_label(F.col("_labels"), AOI_CODE_HEADERS).alias("aoi_failure_code"),
+        _first_label(F.col("_labels"), [VI_CODE_HEADER]).alias("block_code"),
+        F.array_join(F.transform(codes, lambda c: F.trim(c["value"])), ";").alias("failure_codes"),
+        F.size("_cells").alias("parameter_count"),
+    )
+    cells = resolved.select(
         "event_id", "dmc_raw", "station_id", "test_date", "source_file", "source_sheet", "source_row", F.explode("_cells").alias("_c")
-    ).select(
+    )
+    number = F.trim("_c.value").try_cast("double")
+    parameters = cells.select(
         "event_id", "dmc_raw", "station_id", "test_date", F.col("_c.name").alias("parameter_name"),
-        F.col("_c.value").alias("raw_value"), F.trim("_c.value").try_cast("double").alias("numeric_value"),
-        F.col("_c.tolerance").alias("tolerance_raw"),
-        F.when(F.trim("_c.value").try_cast("double").isNotNull(), "numeric").otherwise("categorical").alias("parameter_type"),
+        F.col("_c.value").alias("raw_value"), number.alias("numeric_value"), F.col("_c.tolerance").alias("tolerance_raw"),
+        F.when(number.isNotNull(), "numeric").otherwise("categorical").alias("parameter_type"),
         "source_file", "source_sheet", "source_row",
     )
-    return resolved.drop("_cells"), parameters, package
-
-
-def _named_cells(names: Column, cells: Column) -> Column:
-    """(header, value) entries; of repeated headers the last cell counts."""
-    pairs = F.transform(names, lambda name, i: F.struct(name.alias("name"), F.when(i < F.size(cells), F.get(cells, i)).alias("value")))
-    kept = F.filter(
-        F.transform(pairs, lambda pair, i: F.struct(
-            pair["name"].alias("name"), pair["value"].alias("value"),
-            F.array_contains(F.slice(names, i + 2, F.size(names)), pair["name"]).alias("again"),
-        )),
-        lambda pair: (pair["name"] != "") & ~pair["again"],
-    )
-    return F.transform(kept, lambda pair: F.struct(pair["name"].alias("key"), pair["value"].alias("value")))
+    return finished, parameters, package
 
 
 def _has_token(key: Column, tokens: Sequence[str]) -> Column:
@@ -249,7 +262,7 @@ def measurement_layout(rows: DataFrame, mapping: Mapping[str, str] | None = None
     A result column takes the next tolerance column before the next result column.
     ``mapping`` overrides canonical fields by unique column name.
     """
-    head = sheet_headers(rows)
+    head = cut_lineage(sheet_headers(rows))
     given = {name: source for name, source in (mapping or {}).items() if source}
     fields = {}
     for name, aliases in MEASUREMENT_HEADER_ALIASES.items():
@@ -273,8 +286,11 @@ def measurement_layout(rows: DataFrame, mapping: Mapping[str, str] | None = None
             (tolerance_of(i) + 1).alias("tolerance_at"), F.get("unique_names", tolerance_of(i)).alias("tolerance_column"),
         ),
     )
-    return head.select(*SHEET, "names", "keys", "unique_names", *[c.alias(n) for n, c in fields.items()],
-                       resolve_profile(F.col("keys"), profile).alias("profile"), pairs.alias("pairs"))
+    layout = head.select(
+        *SHEET, "names", "keys", "unique_names", *[c.alias(n) for n, c in fields.items()],
+        resolve_profile(F.col("keys"), profile).alias("profile"), pairs.alias("pairs"),
+    )
+    return cut_lineage(layout)  # one row per sheet, read by every later step
 
 
 def mapping_errors(rows: DataFrame, mapping: Mapping[str, str]) -> DataFrame:

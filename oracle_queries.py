@@ -567,9 +567,9 @@ _add("process_targets", """
     UNION ALL SELECT DISTINCT analysis_scope, target, global_order FROM (SELECT *, count(*) OVER (PARTITION BY analysis_scope, target) AS n FROM (
         SELECT analysis_scope, global_order, 'VI_CODE_' || unnest(string_split(replace(vi_defect_code, ' ', ';'), ';')) AS target FROM followed) WHERE target <> 'VI_CODE_') WHERE n >= 5""")
 _add("parameter_metrics", """
-    SELECT analysis_scope, target, parameter, count(value) AS sample_count, round(1 - count(value) / count(*), 6) AS missing_rate, round(avg(value) FILTER (y = 1), 6) AS defect_mean,
-        round(avg(value) FILTER (y = 0), 6) AS normal_mean, round(CASE WHEN count(DISTINCT value) > 1 AND count(DISTINCT y) FILTER (value IS NOT NULL) > 1 THEN corr(r, y) FILTER (value IS NOT NULL) END, 6) AS spearman,
-        round(CASE WHEN stddev_samp(value) > 0 THEN (avg(value) FILTER (y = 1) - avg(value) FILTER (y = 0)) / stddev_samp(value) END, 6) AS effect_size, round(min(value), 6) AS minimum, round(max(value), 6) AS maximum
+    SELECT analysis_scope, target, parameter, count(value) AS sample_count, round(1 - count(value) / count(*), 4) AS missing_rate, round(avg(value) FILTER (y = 1), 4) AS defect_mean,
+        round(avg(value) FILTER (y = 0), 4) AS normal_mean, round(CASE WHEN count(DISTINCT value) > 1 AND count(DISTINCT y) FILTER (value IS NOT NULL) > 1 THEN corr(r, y) FILTER (value IS NOT NULL) END, 4) AS spearman,
+        round(CASE WHEN stddev_samp(value) > 0 THEN (avg(value) FILTER (y = 1) - avg(value) FILTER (y = 0)) / stddev_samp(value) END, 4) AS effect_size, round(min(value), 4) AS minimum, round(max(value), 4) AS maximum
     FROM (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY analysis_scope, target, parameter, value) - 1) / 2 AS r FROM labelled WINDOW w AS (PARTITION BY analysis_scope, target, parameter ORDER BY value NULLS LAST))
     GROUP BY analysis_scope, target, parameter""")
 _add("binned_defect_rates", """
