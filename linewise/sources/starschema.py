@@ -215,10 +215,11 @@ def worksheet_rows(spark: SparkSession, folder: str) -> DataFrame:
     location = F.split(_by_station(3), r"\.")
     half = F.floor(F.hour("test_date") / 12)
     key = [F.concat(F.lit("F"), F.date_format("test_date", "yyyyMMdd")).alias("file"), F.concat(F.lit("S"), F.col("user_id") % 3).alias("sheet")]
+    wp = F.when(F.col("value") > 200, "99").otherwise(location[4])
     stamp = F.when(F.col("user_id") % 2 == 0, F.date_format("test_date", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("test_date", "dd.MM.yyyy HH:mm:ss"))
     si = F.when(F.col("value") > 120, "9").otherwise(location[2])
     cells = F.array(
-        F.col("dmc_raw"), F.col("state_raw"), location[0], location[1], si, location[3], location[4], F.lit("1"), stamp,
+        F.col("dmc_raw"), F.col("state_raw"), location[0], location[1], si, location[3], wp, F.lit("1"), stamp,
         F.col("ttnr"), F.col("value").cast("string"), F.lit("5 ... 60"), F.col("aoi_failure_code"), F.col("block_code"), F.col("event_type"),
     )
     data = base.select(*key, (F.col("seq") * 4 + 3).alias("row_idx"), cells.alias("cells"))

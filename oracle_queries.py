@@ -303,7 +303,8 @@ CTES["sheet_events"] = """
     SELECT 'F' || strftime(test_date, '%Y%m%d') AS source_file, 'S' || (user_id % 3) AS source_sheet, seq * 4 + 3 AS source_row,
         'Block ' || (hour(test_date) // 12) AS station_title, p.*,
         string_split(location, '.') AS loc, CASE WHEN value > 120 THEN '9' ELSE string_split(location, '.')[3] END AS si,
-        CASE WHEN user_id % 2 = 0 THEN date_trunc('second', test_date) ELSE date_trunc('second', test_date) END AS read_date FROM passes p"""
+        CASE WHEN value > 200 THEN '99' ELSE string_split(location, '.')[5] END AS wp, CASE WHEN value > 200 THEN '' ELSE p.station_id END AS resolved_station,
+        date_trunc('second', test_date) AS read_date FROM passes p"""
 
 
 def sql(body: str) -> str:
@@ -392,13 +393,12 @@ _add("declared_location_mismatches", f"""SELECT source, r.station_id, r.location
     JOIN station_dim s ON s.station_id = r.station_id LEFT JOIN station_dim d ON d.location = r.location WHERE r.location <> s.location""")
 _add("worksheet_events", """SELECT source_sheet_ || ':' || station_title || ':' || source_row AS event_id, dmc_raw, station_id, station_title, read_date AS test_date, state, source_file, source_sheet_ AS source_sheet, source_row, ttnr,
         aoi_failure_code, block_code, concat_ws(';', aoi_failure_code, block_code) AS failure_codes, 2 + (aoi_failure_code IS NOT NULL)::INT + (block_code IS NOT NULL)::INT AS parameter_count
-    FROM (SELECT * EXCLUDE (source_sheet_1), source_sheet AS source_sheet_ FROM sheet_events)""".replace("* EXCLUDE (source_sheet_1), source_sheet AS source_sheet_", "source_file, source_sheet AS source_sheet_, source_row, station_title, dmc_raw, station_id, read_date, state, ttnr, aoi_failure_code, block_code"))
+    FROM (SELECT * EXCLUDE (source_sheet_1), source_sheet AS source_sheet_ FROM sheet_events)""".replace("* EXCLUDE (source_sheet_1), source_sheet AS source_sheet_", "source_file, source_sheet AS source_sheet_, source_row, station_title, dmc_raw, resolved_station AS station_id, read_date, state, ttnr, aoi_failure_code, block_code"))
 _add("worksheet_parameters", """SELECT source_file, 'S' || (user_id % 3) || ':' || station_title || ':' || source_row AS event_id, u.n AS parameter_name, u.v AS raw_value, try_cast(u.v AS DOUBLE) AS numeric_value, u.t AS tolerance_raw,
         CASE WHEN try_cast(u.v AS DOUBLE) IS NOT NULL THEN 'numeric' ELSE 'categorical' END AS parameter_type
     FROM (SELECT *, unnest([{'n': 'Result.Value', 'v': CAST(value AS VARCHAR), 't': '5 ... 60'}, {'n': 'Result.AOIFailureCode', 'v': aoi_failure_code, 't': NULL},
         {'n': 'Block Code', 'v': block_code, 't': NULL}, {'n': 'Result.Kind', 'v': event_type, 't': NULL}]) AS u FROM sheet_events) WHERE u.v IS NOT NULL""")
-_add("worksheet_unresolved", """SELECT loc[1] AS line, loc[2] AS st, loc[5] AS wp, count(*) AS passes FROM sheet_events WHERE si = '9' AND (SELECT count(*) FROM station_dim d
-    WHERE string_split(d.location, '.')[1] = loc[1] AND string_split(d.location, '.')[2] = loc[2] AND string_split(d.location, '.')[5] = loc[5]) <> 1 GROUP BY ALL""")
+_add("worksheet_unresolved", "SELECT loc[1] AS line, loc[2] AS st, wp, count(*) AS passes FROM sheet_events WHERE value > 200 GROUP BY ALL")
 _add("measurement_records", """SELECT 'M' || strftime(o_orderdate, '%Y%m') AS file, o_orderkey + 2 AS source_row, 'C' || o_custkey AS dmc_raw, CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'O' THEN 'NOK' ELSE '' END AS state,
     o_orderpriority AS variant, strftime(o_orderdate, '%Y-%m') AS batch, 'T1' AS ttnr, 'L' || (o_custkey % 7) AS line, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS test_date,
     date_trunc('minute', o_orderdate) AS result_timestamp, date_trunc('minute', o_orderdate) AS timestamp, 'wp' AS profile FROM orders""")
