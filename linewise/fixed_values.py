@@ -155,9 +155,10 @@ AOI_PROFILE_HEADER = "aoifailurecode"
 OK_WORDS = ["OK", "GOOD", "PASS", "PASSED"]
 NOK_WORDS = ["NOK", "NG", "FAIL", "FAILED"]
 
-# --- Fixed values: one tolerance number; the two accepted range notations
-TOLERANCE_RANGE = r"(?i)^\s*([-+]?\d+(?:\.\d+)?)\s*(?:\.{2,}|…|~|～|to)\s*([-+]?\d+(?:\.\d+)?)\s*$"
-TOLERANCE_DASH = r"^\s*([-+]?\d+(?:\.\d+)?)\s+-\s+([-+]?\d+(?:\.\d+)?)\s*$"
+# --- Fixed values: a tolerance is two numbers around .. … ~ ～ to, or around a dash with blanks
+TOLERANCE_PATTERN = (
+    r"(?i)^\s*([-+]?\d+(?:\.\d+)?)(?:\s*(?:\.{2,}|…|~|～|to)\s*|\s+-\s+)([-+]?\d+(?:\.\d+)?)\s*$"
+)
 
 # --- Fixed values: join keys of process data, in preference order
 EXACT_KEYS = ["product_id", "order_code", "dmc_raw", "global_order"]

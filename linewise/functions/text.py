@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linewise.fixed_values import (
-    DEFECT_STATUSES, NOK_WORDS, OK_WORDS, SCOPE_TOKENS, TOLERANCE_DASH, TOLERANCE_RANGE,
+    DEFECT_STATUSES, NOK_WORDS, OK_WORDS, SCOPE_TOKENS, TOLERANCE_PATTERN,
 )
 
 
@@ -111,14 +111,9 @@ def is_analyzable(detection_type: Column) -> Column:
 
 def tolerance_bounds(value: Column) -> Column:
     """``struct<lower,upper>`` of a tolerance text, null when it cannot be read."""
-    text = F.regexp_replace(F.translate(F.trim(value.cast("string")), "−", "-"), ",", "")
-
-    def part(group: int) -> Column:
-        ranged = F.regexp_extract(text, TOLERANCE_RANGE, group)
-        dashed = F.regexp_extract(text, TOLERANCE_DASH, group)
-        return F.when(ranged != "", ranged).otherwise(dashed).try_cast("double")
-
-    lower, upper = part(1), part(2)
+    text = F.translate(F.trim(value.cast("string")), "−,", "-")
+    lower = F.regexp_extract(text, TOLERANCE_PATTERN, 1).try_cast("double")
+    upper = F.regexp_extract(text, TOLERANCE_PATTERN, 2).try_cast("double")
     return F.when(lower <= upper, F.struct(lower.alias("lower"), upper.alias("upper")))
 
 
@@ -135,43 +130,37 @@ def verdicts_conflict(recorded: Column, recomputed: Column) -> Column:
     return (recorded != "UNKNOWN") & (recomputed != "UNKNOWN") & (recorded != recomputed)
 
 
-_CLOCK = r"(?:[ T]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d+)?))?\s*([AaPp][Mm])?)?\s*$"
-_YEAR_FIRST = r"^\s*(\d{4})[-/](\d{1,2})[-/](\d{1,2})" + _CLOCK
-_YEAR_LAST = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + _CLOCK
+_CLOCK = r"(?:[ T]+\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?\s*(?:[AaPp][Mm])?)?$"
+_DATE_TEXT = r"^(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})" + _CLOCK
 
 
 def mixed_timestamp(value: Column) -> Column:
     """Timestamp of year-first or day-first text; unreadable text gives null.
 
-    A day-first text whose second number cannot be a month is read month-first.
+    A day-first text whose second number cannot be a month is read month-first. One
+    check and one split per text; the numbers are then only rearranged.
     """
-    text = F.coalesce(value.cast("string"), F.lit(""))
-    year_first = F.regexp_extract(text, _YEAR_FIRST, 1) != ""
-
-    def part(group: int) -> Column:
-        return F.when(year_first, F.regexp_extract(text, _YEAR_FIRST, group)).otherwise(
-            F.regexp_extract(text, _YEAR_LAST, group)
+    text = F.trim(value.cast("string"))
+    half = F.upper(F.right(text, F.lit(2)))
+
+    def rearranged(parts: Column) -> Column:
+        first, second, third = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+        year_first = F.length(first) == 4
+        swapped = ~year_first & (second.cast("int") > 12)
+        year = F.when(year_first, first).otherwise(third)
+        month = F.when(year_first | ~swapped, second).otherwise(first)
+        day = F.when(year_first, third).when(swapped, second).otherwise(first)
+        number = lambda i: F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(0))
+        hour = number(3) + F.when((half == "PM") & (number(3) < 12), 12).when((half == "AM") & (number(3) == 12), -12).otherwise(0)
+        fraction = F.coalesce(F.nullif(F.get(parts, F.lit(6)), F.lit("")), F.lit("0"))
+        two = lambda column: F.lpad(column.cast("string"), 2, "0")
+        return F.concat(
+            year, F.lit("-"), two(month), F.lit("-"), two(day), F.lit(" "), two(hour), F.lit(":"), two(number(4)),
+            F.lit(":"), two(number(5)), F.lit("."), fraction,
         )
 
-    first, second, third = part(1), part(2), part(3)
-    swapped = ~year_first & (second.try_cast("int") > 12)
-    year = F.when(year_first, first).otherwise(third)
-    month = F.when(year_first, second).when(swapped, first).otherwise(second)
-    day = F.when(year_first, third).when(swapped, second).otherwise(first)
-    hour, half = part(4).try_cast("int"), F.upper(part(7))
-    hour24 = (
-        F.when((half == "PM") & (hour < 12), hour + 12)
-        .when((half == "AM") & (hour == 12), F.lit(0))
-        .otherwise(F.coalesce(hour, F.lit(0)))
-    )
-    second_text = F.when(part(6) == "", "0").otherwise(part(6))
-    minute = F.coalesce(part(5).try_cast("int"), F.lit(0))
-    iso = F.concat(
-        year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"), F.lit(" "),
-        F.lpad(hour24.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"),
-        F.lit(":"), F.regexp_replace(second_text, r"^(\d)(\.|$)", "0$1$2"),
-    )
-    return F.when(year != "", iso).try_cast("timestamp_ntz")
+    parts = F.array(F.split(text, "[^0-9]+"))
+    return F.when(text.rlike(_DATE_TEXT), F.get(F.transform(parts, rearranged), F.lit(0))).try_cast("timestamp_ntz")
 
 
 def order_array(value: Column, separators: str = "[;,]") -> Column:

@@ -8,6 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linewise.session import cut_lineage
+
+BROADCAST_ROWS = 200_000
+
 
 def match_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join on ``keys`` where null equals null; ``left`` keeps its key columns."""
@@ -22,3 +26,17 @@ def match_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     )
     joined = left.join(renamed, condition, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__{key}" for key in keys])
+
+
+def lookup_join(
+    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """``match_join`` for a derived side that is usually tiny.
+
+    The small side is stored and counted first: up to ``limit`` rows it is broadcast,
+    so the big side keeps its partitions and is not shuffled; above that the join is
+    an ordinary shuffle join.
+    """
+    stored = cut_lineage(small)
+    fits = stored.limit(limit + 1).count() <= limit
+    return match_join(big, F.broadcast(stored) if fits else stored, keys, how)

@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewise.operators.joining import match_join
+from linewise.operators.joining import lookup_join, match_join
 from linewise.session import cut_lineage
 
 PART, POS = "_part", "_pos"
@@ -56,7 +56,7 @@ def rank_in_groups(
     laid = range_layout(df, keys, sort)
     spans = laid.groupBy(*keys, PART).agg(F.min(POS).alias("_rank_start"), F.count("*").alias("_rank_rows"))
     offsets = _earlier_parts(spans, keys, {"_rank_before": "_rank_rows"}).drop("_rank_rows")
-    ranked = match_join(laid, offsets, [*keys, PART])
+    ranked = lookup_join(laid, offsets, [*keys, PART])
     return ranked.withColumn(name, (F.col(POS) - F.col("_rank_start") + F.col("_rank_before") + 1).cast("bigint")).drop(
         PART, POS, "_rank_start", "_rank_before"
     )
@@ -84,7 +84,7 @@ def totals_before(
     running = laid.select(
         "*", *[F.coalesce(F.sum(col).over(local), F.lit(0)).alias(f"_run_{out}") for out, col in sums.items()]
     )
-    joined = match_join(running, offsets, [*keys, PART])
+    joined = lookup_join(running, offsets, [*keys, PART])
     return joined.select(
         *df.columns, *[(F.col(f"_run_{out}") + F.col(f"_off_{out}")).alias(out) for out in sums]
     )
@@ -112,7 +112,7 @@ def nearest_non_null(
     local = laid.withColumn(previous, F.last(payload, ignorenulls=True).over(up)).withColumn(
         following, F.last(payload, ignorenulls=True).over(down)
     )
-    joined = match_join(local, carried, [*keys, PART])
+    joined = lookup_join(local, carried, [*keys, PART])
     return joined.select(
         *df.columns,
         F.coalesce(previous, "_carry_up").alias(previous),

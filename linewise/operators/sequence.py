@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linewise.config import AnalysisConfig
 from linewise.functions import is_defect_status
-from linewise.operators.joining import match_join
+from linewise.operators.joining import lookup_join, match_join
 from linewise.operators.ordering import BLOCK, consecutive_runs, number_rows, rank_in_groups
 from linewise.session import cut_lineage
 
@@ -81,42 +81,37 @@ def period_candidates(
         orders.groupBy(*keys).agg(F.count("*").alias("occurrences"))
         .where(F.col("occurrences") >= config.minimum_repeat_occurrences)
     )
-    enough = match_join(orders, sizes, keys)
-    group = [*keys, "occurrences"]
 
     def passing(counts: DataFrame) -> DataFrame:
-        return counts.where(
-            (F.col("matched") >= config.minimum_repeat_occurrences)
-            & (F.col("matched") / F.col("occurrences") >= config.minimum_period_precision)
-        )
+        """Counts meet the group sizes after aggregation, so the orders are never joined."""
+        frequent = counts.where(F.col("matched") >= config.minimum_repeat_occurrences)
+        return match_join(frequent, sizes, keys).where(F.col("matched") / F.col("occurrences") >= config.minimum_period_precision)
 
     primes = _primes(high)
     if tolerance > 0 or not primes:
         periods = F.sequence(F.lit(low), F.lit(high))
-        return passing(_residue_counts(enough, group, order, periods, tolerance))
-    # few rows survive; stored once because two later steps read them
-    first = cut_lineage(passing(_residue_counts(enough, group, order, F.array(*map(F.lit, primes)), 0)))
-    composites = [n for n in range(max(low, 4), high + 1) if n not in primes]
+        return passing(_residue_counts(orders, keys, order, periods, tolerance))
+    # few rows survive; stored once because the next steps read them again
+    first = cut_lineage(passing(_residue_counts(orders, keys, order, F.array(*map(F.lit, primes)), 0)))
     kept = first.where(F.col("period") >= low)
     if low == 1:
-        kept = kept.unionByName(passing(_residue_counts(enough, group, order, F.array(F.lit(1)), 0)))
+        kept = kept.unionByName(passing(_residue_counts(orders, keys, order, F.array(F.lit(1)), 0)))
+    composites = [n for n in range(max(low, 4), high + 1) if n not in primes]
     if not composites:
         return kept
     factor_rows = F.array(*[
         F.struct(F.lit(n).alias("period"), F.array(*[F.lit(p) for p in primes if n % p == 0]).alias("factors"))
         for n in composites
     ])
-    survivors = first.groupBy(*keys).agg(F.collect_set("period").alias("_primes"))
-    open_periods = survivors.withColumn(
-        "_open",
+    open_periods = first.groupBy(*keys).agg(F.collect_set("period").alias("_primes")).select(
+        *keys,
         F.transform(
             F.filter(factor_rows, lambda item: F.size(F.array_except(item["factors"], "_primes")) == 0),
             lambda item: item["period"],
-        ),
-    ).where(F.size("_open") > 0).drop("_primes")
-    rest = match_join(enough, open_periods, keys)
-    second = passing(_residue_counts(rest, group, order, F.col("_open"), 0))
-    return kept.unionByName(second)
+        ).alias("_open"),
+    ).where(F.size("_open") > 0)
+    rest = lookup_join(orders, open_periods, keys)
+    return kept.unionByName(passing(_residue_counts(rest, keys, order, F.col("_open"), 0)))
 
 
 def fit_period(
