@@ -172,7 +172,7 @@ def next_orders(
         .drop("_low", "_high")
     )
     linked = blocked.withColumn("_lead", F.lead(order).over(inside)).withColumn("_lag", F.lag(order).over(inside))
-    joined = match_join(linked, edges, [*keys, "_block"])
+    joined = lookup_join(linked, edges, [*keys, "_block"])
     columns = [*keys, order, F.coalesce("_lead", "_after").alias(following)]
     if previous:
         columns.append(F.coalesce("_lag", "_prior").alias(previous))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from linewise.functions import (
     blank_to_null, is_blank, out_of_tolerance, test_state, tolerance_bounds, verdict, verdicts_conflict,
 )
-from linewise.operators.joining import match_join
 from linewise.operators.ordering import rank_in_groups
 
 
@@ -102,7 +101,7 @@ def record_verdicts(records: DataFrame, evaluated: DataFrame, keys: Sequence[str
         _count(F.col("evaluated")).alias("evaluated_parameter_count"),
         _count(F.col("violated")).alias("tolerance_violation_count"),
     )
-    joined = match_join(records, counts, keys, "left").fillna(
+    joined = records.join(counts, list(keys), "left").fillna(
         0, ["evaluated_parameter_count", "tolerance_violation_count"]
     )
     recorded = test_state(F.col(state)) if state else F.lit("UNKNOWN")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linewise.functions import blank_to_null, is_analyzable
 from linewise.operators.ordering import next_orders
+from linewise.session import cut_lineage
 
 SCOPE = "analysis_scope"
 
@@ -33,7 +34,8 @@ def cooccurrence(products: DataFrame, events: DataFrame) -> DataFrame:
     Products are first grouped by their whole category set; pairs are then written
     once per distinct set with its product count as weight, not once per product.
     """
-    sets = _category_sets(events).groupBy(SCOPE, "categories").agg(F.count("*").alias("_weight"))
+    # distinct sets with their weight: small, read by three branches below
+    sets = cut_lineage(_category_sets(events).groupBy(SCOPE, "categories").agg(F.count("*").alias("_weight")))
     rest: Column = F.expr("slice(categories, _at + 2, size(categories))")
     pairs = (
         sets.select(SCOPE, "categories", "_weight", F.posexplode("categories").alias("_at", "left_category"))
@@ -63,10 +65,10 @@ def transitions(events: DataFrame) -> DataFrame:
     The successor is the next order with any category, however far. Set pairs are
     counted before categories are paired.
     """
-    sets = _category_sets(events)
-    links = next_orders(events, [SCOPE], "global_order").where("next_order is not null")
+    sets = cut_lineage(_category_sets(events))
+    links = next_orders(sets, [SCOPE], "global_order").where("next_order is not null")
     following = sets.select(SCOPE, F.col("global_order").alias("next_order"), F.col("categories").alias("_next"))
-    moves = (
+    moves = cut_lineage(
         sets.join(links, [SCOPE, "global_order"]).join(following, [SCOPE, "next_order"])
         .groupBy(SCOPE, "categories", "_next")
         .agg(F.count("*").alias("_n"), F.sum(F.col("next_order") - F.col("global_order")).alias("_gap"))

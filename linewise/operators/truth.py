@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewise.functions import evidence_status
+from linewise.operators.ordering import rank_in_groups
 
 SOURCE = ("source_sheet", "source_row", "event_id")
 
@@ -74,10 +75,16 @@ def match_followup(products: DataFrame, events: DataFrame, follow_up: DataFrame)
     )
 
 
-def timeline(events: DataFrame, dmc: str | None = None) -> DataFrame:
-    """Passes of one product, or of all, in time order; unknown times come last."""
-    rows = events if dmc is None else events.where(F.col("dmc_raw") == dmc)
-    return rows.orderBy("dmc_raw", F.col("test_date").asc_nulls_last(), "source_sheet", "source_row", "event_id")
+def timeline(events: DataFrame, dmc: str) -> DataFrame:
+    """Passes of one product in time order; unknown times come last."""
+    return events.where(F.col("dmc_raw") == dmc).orderBy(
+        F.col("test_date").asc_nulls_last(), "source_sheet", "source_row", "event_id"
+    )
+
+
+def timelines(events: DataFrame) -> DataFrame:
+    """Every pass with its visit number on the product's way across stations."""
+    return rank_in_groups(events, ["dmc_raw"], ["test_date", "source_sheet", "source_row", "event_id"], "visit")
 
 
 def recent_parameters(parameters: DataFrame, count: int = 20) -> DataFrame:

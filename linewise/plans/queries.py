@@ -405,10 +405,7 @@ def unsequenced_detections(spark, folder):
 
 @query
 def product_timelines(spark, folder):
-    rows = truth.timeline(star.passes(spark, folder))
-    return rows.groupBy("dmc_raw").agg(
-        F.sort_array(F.collect_list(F.struct("test_date", "station_id", "state"))).alias("_t")
-    ).select("dmc_raw", F.array_join(F.transform("_t", lambda e: F.concat_ws("=", e["station_id"], e["state"])), ";").alias("timeline"))
+    return truth.timelines(star.passes(spark, folder)).select("dmc_raw", "visit", "test_date", "station_id", "state")
 
 
 @query

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from linewise.config import AnalysisConfig
 from linewise.functions import is_blank, is_defect_status, order_array
 from linewise.operators.joining import match_join
+from linewise.operators.ordering import nearest_non_null, number_rows
 from linewise.operators.relations import category_events, cooccurrence, transitions
 from linewise.operators.sequence import code_patterns as find_code_patterns
+from linewise.session import cut_lineage
 
 SECTIONS = ("periodic", "burst", "code", "trajectory", "cooccurrence", "transition", "other")
 
@@ -68,9 +70,9 @@ def filter_order_evidence(
         pieces.append(F.coalesce(F.col(name).cast("array<bigint>"), F.array().cast("array<bigint>")) if is_array else order_array(F.col(name)))
     pieces += [F.array_compact(F.array(F.col(name).cast("bigint"))) for name in scalars]
     wanted = orders.select(F.col(order).cast("bigint").alias("_order")).where("_order is not null").distinct()
-    spread = frame.withColumn("_row", F.monotonically_increasing_id()).withColumn(
-        "_order", F.explode(F.array_distinct(F.concat(*pieces)))
-    )
+    # row numbers are stored, so a recomputed task cannot number its rows differently
+    numbered = cut_lineage(frame.withColumn("_row", F.monotonically_increasing_id()))
+    spread = numbered.withColumn("_order", F.explode(F.array_distinct(F.concat(*pieces))))
     kept = spread.join(wanted, "_order", "left_semi")
     return kept.groupBy("_row").agg(F.first(F.struct(*frame.columns)).alias("_r")).select("_r.*")
 
@@ -100,7 +102,7 @@ def remap_order_lists(frame: DataFrame, column: str, mapping: DataFrame, key: Se
 
     List order and repeats are kept. ``key`` columns scope the mapping.
     """
-    row = frame.withColumn("_row", F.monotonically_increasing_id())
+    row = cut_lineage(frame.withColumn("_row", F.monotonically_increasing_id()))
     parts = row.select("*", F.posexplode_outer(order_array(F.col(column), ";")).alias("_at", "from_order"))
     joined = match_join(parts, mapping.select(*key, "from_order", "to_order"), [*key, "from_order"], "left")
     others = [name for name in frame.columns if name != column]
@@ -119,8 +121,6 @@ def nearest_order(products: DataFrame, order: int) -> DataFrame:
 
 def nearest_orders(asked: DataFrame, products: DataFrame, order: str = "asked_order") -> DataFrame:
     """For many asked orders the closest existing order, the smaller on equal distance."""
-    from linewise.operators.ordering import nearest_non_null
-
     known = products.select(F.col("global_order").cast("bigint").alias("_o"), F.col("global_order").cast("bigint").alias("_known")).distinct()
     axis = asked.select(F.col(order).cast("bigint").alias("_o")).distinct().withColumn("_asked", F.lit(True)).join(known, "_o", "full_outer")
     near = nearest_non_null(axis, [], ["_o"], "_known", "_prev", "_next").where("_asked")
@@ -245,7 +245,7 @@ def cluster_timeline(assigned: DataFrame, minimum_repeat: int = 4) -> DataFrame:
     """Cluster row number, order and repeat flag of every clustered detection."""
     clustered = assigned.where(~is_blank(F.col("cluster_id")))
     sizes = clustered.groupBy("cluster_id").agg(F.count("*").alias("_n"))
-    rows = sizes.withColumn("cluster_row", F.row_number().over(Window.orderBy("cluster_id")).cast("bigint"))  # one row per cluster
+    rows = number_rows(sizes, ["cluster_id"], "cluster_row")
     return clustered.join(rows, "cluster_id").select(
         "cluster_id", "cluster_row", "global_order", "center_x_norm", "center_y_norm", (F.col("_n") >= minimum_repeat).alias("repeated")
     )

@@ -439,7 +439,7 @@ _add("followup_match", "SELECT global_order, station_id, dmc_raw, vi_event_id, v
 _add("normalized_codes", "SELECT analysis_scope, station_id, event_id, dmc_raw, production_order, source_type, raw_code, canonical_code, defect_name, state, code_status FROM codes")
 _add("code_product_links", "SELECT analysis_scope, source_type, event_id, dmc_raw, canonical_code, code_status, global_order FROM links")
 _add("unsequenced_detections", "SELECT detected_id, global_order, station_id, detection_type FROM detections WHERE global_order NOT IN (SELECT global_order FROM products WHERE evidence_status = 'evaluable')")
-_add("product_timelines", "SELECT dmc_raw, string_agg(station_id || '=' || state, ';' ORDER BY test_date, station_id, state) AS timeline FROM passes GROUP BY 1")
+_add("product_timelines", "SELECT dmc_raw, row_number() OVER (PARTITION BY dmc_raw ORDER BY test_date, source_sheet, seq, event_id) AS visit, test_date, station_id, state FROM passes")
 _add("recent_product_parameters", """SELECT dmc_raw, event_id, parameter_name, numeric_value, row_number() OVER (PARTITION BY dmc_raw ORDER BY test_date DESC, source_row DESC, parameter_name DESC, event_id DESC) AS recency
     FROM pass_parameters WHERE numeric_value IS NOT NULL QUALIFY recency <= 3""")
 
