@@ -758,15 +758,19 @@ def leader_clusters(spark, folder):
 def horizontal_bands(spark, folder):
     ordered = star.ordered_passes(spark, folder)
     aligned = spatial.apply_registration(star.detections_of_passes(ordered), None, CONFIG.registration_min_score)
-    return spatial.y_bands(aligned.where("detection_type <> 'region_anomaly'"), CONFIG.horizontal_y_tolerance_norm).groupBy(
-        "analysis_scope", "station_id", "band").agg(F.count("*").alias("detections"), F.min("aligned_y_norm").alias("lowest"), F.max("aligned_y_norm").alias("highest"))
+    bands = spatial.y_bands(aligned.where("detection_type <> 'region_anomaly'"), CONFIG.horizontal_y_tolerance_norm)
+    return rounded(bands.groupBy("analysis_scope", "station_id", "band").agg(
+        F.count("*").alias("detections"), F.min("aligned_y_norm").alias("lowest"), F.max("aligned_y_norm").alias("highest")
+    ), "lowest", "highest")
 
 
 @query
 def spatial_trajectories(spark, folder):
     ordered = star.ordered_passes(spark, folder)
     aligned = spatial.apply_registration(star.detections_of_passes(ordered), _warps(ordered), CONFIG.registration_min_score)
-    return spatial.trajectories(aligned, CONFIG)[1]
+    return rounded(
+        spatial.trajectories(aligned, CONFIG)[1], "mean_y_norm", "x_span_norm", "y_span_norm", "spearman_order_x", "minimum_registration_score"
+    )
 
 
 @query
@@ -775,6 +779,28 @@ def alert_replay(spark, folder):
     return replay.replay_batch(products, assigned, CONFIG)[0]
 
 
+@query
+def pattern_alerts(spark, folder):
+    """Alerts that report a new pattern: burst, confirmed period, fixed position."""
+    products, assigned, _ = _assigned(spark, folder)
+    alerts = replay.replay_batch(products, assigned, CONFIG)[0]
+    kinds = ["burst_detected", "periodic_pattern_confirmed", "fixed_position_repeat_confirmed"]
+    return rounded(alerts.where(F.col("alert_type").isin(kinds)).select(
+        "analysis_scope", "station_id", "cluster_id", "alert_type", "severity", "alert_at_order", "predicted_order", "confidence", "period", "phase"
+    ), "confidence")
+
+
+@query
+def leader_patterns(spark, folder):
+    """Final pattern classes of leader clusters."""
+    products, assigned, _ = _assigned(spark, folder)
+    keys = ["analysis_scope", "station_id", "cluster_id"]
+    observed = cut_lineage(assigned.where("cluster_id is not null").select(*keys, "production_order"))
+    return sequence.classify_sequences(
+        observed, keys, "production_order", CONFIG, products, keys[:2], "fixed_position_repeat", burst_reports_run=True
+    ).drop("run_start", "run_end")
+
+
 @query
 def spatial_patterns(spark, folder):
     products, assigned, _ = _assigned(spark, folder)

@@ -217,6 +217,12 @@ _MERGED_NAMES = """SELECT analysis_scope, station_id, source_type, '5011+5020' A
     FROM codes WHERE code_status IN ('defect', 'state_code_conflict') AND canonical_code IN ('5011', '5020') AND defect_name <> '' GROUP BY ALL"""
 CTES["code_pattern_rows"] = _code_patterns("cf", "code_run", _NAMES)
 CTES["merged_pattern_rows"] = _code_patterns("mf", "merged_run", _MERGED_NAMES)
+_CELL = ["analysis_scope", "station_id", "cluster_id"]
+CTES["leader_obs"] = "SELECT DISTINCT analysis_scope, station_id, cluster_id, o FROM leaders"
+CTES["prefix_obs"] = """SELECT a.analysis_scope, a.station_id, a.cluster_id, a.o AS c, b.o FROM leader_obs a JOIN leader_obs b
+    ON b.analysis_scope = a.analysis_scope AND b.station_id = a.station_id AND b.cluster_id = a.cluster_id AND b.o <= a.o"""
+CTES |= _fit("lf", "leader_obs", _CELL, "cell_elig", _CELL[:2]) | _runs("leader_run", "leader_obs", _CELL)
+CTES |= _fit("qf", "prefix_obs", [*_CELL, "c"], "cell_elig", _CELL[:2]) | _runs("prefix_run", "prefix_obs", [*_CELL, "c"])
 CTES["cell_pattern_rows"] = """SELECT analysis_scope, station_id, cluster_id,
         CASE WHEN p IS NOT NULL THEN 'periodic' WHEN run_length >= 4 THEN 'burst' ELSE 'fixed_position_repeat' END AS pattern_type,
         CASE WHEN p IS NULL AND run_length >= 4 THEN run_length ELSE z.n END AS occurrence_count,
@@ -227,6 +233,7 @@ CTES["cell_pattern_rows"] = """SELECT analysis_scope, station_id, cluster_id,
         CASE WHEN p IS NOT NULL THEN coverage WHEN run_length >= 4 THEN 1.0 END AS coverage,
         CASE WHEN p IS NOT NULL THEN confidence WHEN run_length >= 4 THEN 1.0 END AS confidence
     FROM xf_size z JOIN cell_run USING (analysis_scope, station_id, cluster_id) LEFT JOIN xf_best b USING (analysis_scope, station_id, cluster_id) WHERE z.n >= 4"""
+CTES["leader_pattern_rows"] = CTES["cell_pattern_rows"].replace("xf_", "lf_").replace("cell_run", "leader_run")
 CTES["place_missing"] = """SELECT b.place, e.o AS missing_order FROM pf_best b JOIN pf_size z USING (place) JOIN place_elig e
     ON e.o BETWEEN b.f AND z.hi AND (e.o - b.f) % b.p = 0 WHERE NOT EXISTS (SELECT 1 FROM place_obs s WHERE s.place = b.place AND s.o = e.o)"""
 CTES["code_missing"] = """SELECT b.analysis_scope, b.station_id, b.source_type, b.canonical_code, e.o FROM cf_best b JOIN cf_size z USING (analysis_scope, station_id, source_type, canonical_code)
@@ -321,7 +328,7 @@ def sql(body: str) -> str:
 
     need(body)
     head = ",\n".join(f"{name} AS ({CTES[name]})" for name in used)
-    return f"WITH {head}\n{body}" if used else body
+    return f"WITH RECURSIVE {head}\n{body}" if used else body
 
 
 ORACLES: dict[str, str] = {}
@@ -584,6 +591,69 @@ _add("relationship_summary", """SELECT 'global_order' AS join_key, count(*) AS p
 
 # ----------------------------------------------------------- positions, replay, views
 
+CTES["lead_rows"] = """SELECT analysis_scope, station_id, production_order AS o, center_x_norm AS x, center_y_norm AS y, row_number() OVER (PARTITION BY analysis_scope, station_id
+    ORDER BY production_order, center_y_norm, center_x_norm, detected_id) AS rn FROM detections WHERE detection_type <> 'region_anomaly'"""
+CTES["lead_walk"] = """
+    SELECT analysis_scope, station_id, rn, 1::BIGINT AS chosen, [{'sx': x, 'sy': y, 'n': 1::BIGINT}] AS cs FROM lead_rows WHERE rn = 1
+    UNION ALL
+    SELECT analysis_scope, station_id, rn, chosen, CASE WHEN chosen > len(cs) THEN list_append(cs, {'sx': x, 'sy': y, 'n': 1::BIGINT})
+            ELSE list_transform(cs, lambda c, i: CASE WHEN i = chosen THEN {'sx': c.sx + x, 'sy': c.sy + y, 'n': c.n + 1} ELSE c END) END AS cs
+    FROM (SELECT *, CASE WHEN list_min(ds) <= 0.03 THEN list_position(ds, list_min(ds))::BIGINT ELSE len(cs) + 1 END AS chosen
+          FROM (SELECT w.analysis_scope, w.station_id, r.rn, r.x, r.y, w.cs, list_transform(w.cs, lambda c: sqrt((r.x - c.sx / c.n) ** 2 + (r.y - c.sy / c.n) ** 2)) AS ds
+                FROM lead_walk w JOIN lead_rows r ON r.analysis_scope = w.analysis_scope AND r.station_id = w.station_id AND r.rn = w.rn + 1))"""
+CTES["leaders"] = """SELECT analysis_scope, station_id, station_id || '-C' || lpad(CAST(chosen AS VARCHAR), 3, '0') AS cluster_id, o, x, y
+    FROM lead_walk JOIN lead_rows USING (analysis_scope, station_id, rn)"""
+_add("leader_clusters", """SELECT analysis_scope, station_id, cluster_id, round(avg(x), 6) AS center_x_norm, round(avg(y), 6) AS center_y_norm, count(*) AS detection_count,
+    count(DISTINCT o) AS product_count, min(o) AS first_order, max(o) AS last_order FROM leaders GROUP BY ALL""")
+
+_add("leader_patterns", "SELECT * FROM leader_pattern_rows")
+_add("pattern_alerts", """
+    SELECT analysis_scope, station_id, cluster_id, 'burst_detected' AS alert_type, 'critical' AS severity, min(c) AS alert_at_order, NULL::BIGINT AS predicted_order, 1.0::DOUBLE AS confidence, NULL::BIGINT AS period, NULL::BIGINT AS phase
+        FROM prefix_run WHERE run_length >= 4 GROUP BY ALL
+    UNION ALL SELECT analysis_scope, station_id, cluster_id, 'periodic_pattern_confirmed', 'warning', c, f + ((c - f) // p + 1) * p, round(confidence, 6), p, f
+        FROM qf_best QUALIFY row_number() OVER (PARTITION BY analysis_scope, station_id, cluster_id ORDER BY c) = 1
+    UNION ALL SELECT analysis_scope, station_id, cluster_id, 'fixed_position_repeat_confirmed', 'notice', min(c), NULL, 0.5, NULL, NULL
+        FROM qf_size z JOIN prefix_run USING (analysis_scope, station_id, cluster_id, c) WHERE z.n >= 4 AND run_length < 4
+        AND NOT EXISTS (SELECT 1 FROM qf_best b WHERE b.analysis_scope = z.analysis_scope AND b.station_id = z.station_id AND b.cluster_id = z.cluster_id AND b.c = z.c) GROUP BY ALL""")
+
+
+def _bands(prefix: str, source: str) -> dict[str, str]:
+    """CTE <prefix>_starts: first y of every band of ``source`` (analysis_scope, station_id, y)."""
+    return {
+        f"{prefix}_sums": f"""SELECT analysis_scope, station_id, y, sum(y * n) OVER w - y * n AS sb, CAST(sum(n) OVER w - n AS DOUBLE) AS cb
+            FROM (SELECT analysis_scope, station_id, y, count(*) AS n FROM {source} GROUP BY ALL) WINDOW w AS (PARTITION BY analysis_scope, station_id ORDER BY y)""",
+        f"{prefix}_starts": f"""SELECT analysis_scope, station_id, 1::BIGINT AS band, y, 0::DOUBLE AS sb, 0::DOUBLE AS cb FROM {prefix}_sums WHERE cb = 0
+            UNION ALL SELECT * FROM (SELECT b.analysis_scope, b.station_id, b.band + 1 AS band, s.y, s.sb, s.cb FROM {prefix}_starts b JOIN {prefix}_sums s
+                ON s.analysis_scope = b.analysis_scope AND s.station_id = b.station_id AND s.y > b.y AND s.y - (s.sb - b.sb) / (s.cb - b.cb) > 0.02
+                QUALIFY row_number() OVER (PARTITION BY b.analysis_scope, b.station_id ORDER BY s.y) = 1)""",
+    }
+
+
+CTES["flat_spots"] = "SELECT analysis_scope, station_id, center_y_norm AS y FROM detections WHERE detection_type <> 'region_anomaly'"
+CTES |= _bands("flat", "flat_spots")
+_add("horizontal_bands", """SELECT analysis_scope, station_id, band, count(*) AS detections, round(min(y), 6) AS lowest, round(max(y), 6) AS highest
+    FROM (SELECT *, (SELECT count(*) FROM flat_starts b WHERE b.station_id = f.station_id AND b.y <= f.y) AS band FROM flat_spots f) GROUP BY ALL""")
+CTES["aligned_spots"] = """
+    SELECT detected_id, analysis_scope, station_id, production_order AS o, cluster_id, CASE WHEN ok THEN (a * px + t * py) / (a * a + t * t) / 512 ELSE center_x_norm END AS x,
+        CASE WHEN ok THEN (a * py - t * px) / (a * a + t * t) / 384 ELSE center_y_norm END AS y, CASE WHEN ok THEN score ELSE 0 END AS score
+    FROM (SELECT d.*, p.value / 10000 AS t, 1 - p.value / 10000 / 8 AS a, center_x_norm * 512 - p.value / 100 AS px, center_y_norm * 384 + 2 AS py, 1 - p.value / 200 AS score,
+            p.event_type NOT IN ('purchase', 'error') AS ok FROM detections d JOIN passes p ON p.seq + 1 = d.global_order WHERE d.detection_type <> 'region_anomaly')"""
+CTES |= _bands("track", "aligned_spots")
+CTES["track_points"] = """SELECT *, (SELECT count(*) FROM track_starts b WHERE b.station_id = f.station_id AND b.y <= f.y) AS band FROM aligned_spots f"""
+CTES["track_ranks"] = """SELECT *, lag(x) OVER o1 AS xp, lead(x) OVER o1 AS xn, row_number() OVER o1 AS ro,
+        rank() OVER (PARTITION BY analysis_scope, station_id, band ORDER BY x) + (count(*) OVER (PARTITION BY analysis_scope, station_id, band, x) - 1) / 2 AS rx
+    FROM track_points WINDOW o1 AS (PARTITION BY analysis_scope, station_id, band ORDER BY o)"""
+CTES["track_rows"] = """
+    SELECT analysis_scope, station_id, band, count(*) AS occurrence_count, min(o) AS first_production_order, max(o) AS last_production_order, avg(y) AS mean_y, max(x) - min(x) AS xs, max(y) - min(y) AS ys,
+        coalesce(CASE WHEN count(DISTINCT x) > 1 THEN corr(ro, rx) END, 0) AS rho, count(*) FILTER (xp IS NOT NULL AND xn IS NOT NULL AND sign(x - xp) <> sign(xn - x)) AS turns,
+        min(score) AS low, string_agg(DISTINCT cluster_id, ';' ORDER BY cluster_id) AS related_cluster_ids
+    FROM track_ranks GROUP BY ALL HAVING count(*) >= 4 AND max(x) - min(x) >= 0.05 AND max(y) - min(y) <= 0.04"""
+_add("spatial_trajectories", """SELECT station_id || '-T' || lpad(CAST(row_number() OVER (PARTITION BY analysis_scope, station_id ORDER BY band) AS VARCHAR), 3, '0') AS trajectory_id, analysis_scope, station_id, band,
+        CASE WHEN abs(rho) >= 0.8 THEN 'linear_drift' WHEN turns >= 2 THEN 'oscillating_translation' ELSE 'horizontal_translation' END AS pattern_type, occurrence_count, first_production_order, last_production_order,
+        round(mean_y, 6) AS mean_y_norm, round(xs, 6) AS x_span_norm, round(ys, 6) AS y_span_norm, round(rho, 6) AS spearman_order_x, CASE WHEN rho > 0 THEN 'right' WHEN rho < 0 THEN 'left' ELSE 'mixed' END AS direction,
+        CASE WHEN low >= 0.8 THEN 'high' ELSE 'low' END AS registration_quality, round(low, 6) AS minimum_registration_score, related_cluster_ids
+    FROM track_rows""")
+
 _add("cell_cluster_summary", """SELECT analysis_scope, station_id, cluster_id, round(avg(center_x_norm), 6) AS center_x_norm, round(avg(center_y_norm), 6) AS center_y_norm, count(*) AS detection_count,
     count(DISTINCT production_order) AS product_count, min(production_order) AS first_order, max(production_order) AS last_order FROM detections WHERE cluster_id IS NOT NULL GROUP BY ALL""")
 _add("cell_patterns", "SELECT * FROM cell_pattern_rows")
