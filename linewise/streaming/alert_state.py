@@ -44,12 +44,20 @@ class StationReplay:
         self.offsets = np.concatenate([[0], np.cumsum(self.periods)[:-1]])
         self.slot_period = np.repeat(self.periods, self.periods)
         self.slot_residue = np.arange(len(self.slot_period)) - np.repeat(self.offsets, self.periods)
+        self.pending: list[int] = []  # products not yet in the eligible counters
+        self._set_wake()
 
     def step(self, order: int, seen: Iterable[int]) -> list[tuple]:
         """Process product ``order`` with the clusters found on it."""
         state, seen = self.state, sorted(set(seen))
         before, state["last"] = state["last"], order
-        state["eligible"][self.offsets + order % self.periods] += 1
+        self.pending.append(order)
+        if len(self.pending) >= 4096:
+            self.flush()
+        if not seen and order < self.wake:
+            return []  # nothing observed and no expected slot is near
+        if seen:
+            self.flush()
         for number in seen:
             self._observe(state["clusters"].setdefault(number, _new_cluster()), order)
         alerts: list[tuple] = []
@@ -57,8 +65,23 @@ class StationReplay:
             alerts += self._check_active(number, state["clusters"][number], order, before, number in seen)
         for number in seen:
             alerts += self._check_cluster(number, state["clusters"][number], order)
+        self._set_wake()
         return alerts
 
+    def flush(self) -> None:
+        """Count the pending products per (period, residue)."""
+        if self.pending:
+            orders = np.asarray(self.pending, dtype=np.int64)[:, None]
+            slots = (self.offsets + orders % self.periods).ravel()
+            self.state["eligible"] += np.bincount(slots, minlength=len(self.state["eligible"]))
+            self.pending.clear()
+
+    def _set_wake(self) -> None:
+        """First order at which an active period can need attention."""
+        lead = self.config.warning_lead_products
+        active = [self.state["clusters"][number]["active"]["next"] - lead for number in self.state["active"]]
+        self.wake = min(active) if active else float("inf")
+
     # ------------------------------------------------------------------ evidence
 
     def _observe(self, cluster: dict, order: int) -> None:
