@@ -16,7 +16,7 @@ BROADCAST_ROWS = 200_000
 def match_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join on ``keys`` where null equals null; ``left`` keeps its key columns."""
     if not keys:
-        return left.crossJoin(right)  # callers pass a one-row right side here
+        return left.crossJoin(right)  # without keys the right side is one global row
     renamed = right.select(
         *[F.col(key).alias(f"__{key}") for key in keys],
         *[name for name in right.columns if name not in keys],

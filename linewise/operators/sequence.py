@@ -114,6 +114,22 @@ def period_candidates(
     return kept.unionByName(passing(_residue_counts(rest, keys, order, F.col("_open"), 0)))
 
 
+def _on_line(
+    fits: DataFrame, start: str, slots: DataFrame, slot: str, slot_keys: Sequence[str]
+) -> DataFrame:
+    """Slots that are whole periods away from ``start``, for every row of ``fits``.
+
+    Each slot is expanded only to the periods its group really has, then meets the
+    fits by equality on (group, period, slot mod period); no pair is tried in vain.
+    """
+    lines = fits.withColumn("_line", F.pmod(start, "period"))
+    periods = lines.groupBy(*slot_keys).agg(F.collect_set("period").alias("_periods"))
+    spread = lookup_join(slots, periods, slot_keys).select(*slot_keys, slot, F.explode("_periods").alias("period"))
+    return lookup_join(
+        spread.withColumn("_line", F.pmod(slot, "period")), lines, [*slot_keys, "period", "_line"]
+    ).drop("_line")
+
+
 def fit_period(
     observed: DataFrame, keys: Sequence[str], order: str, config: AnalysisConfig,
     eligible: DataFrame | None = None, eligible_keys: Sequence[str] = (), eligible_order: str | None = None,
@@ -135,9 +151,8 @@ def fit_period(
             eligible.where(F.col(eligible_order).isNotNull())
             .select(*eligible_keys, F.col(eligible_order).cast("bigint").alias("_slot")).distinct()
         )
-        reached = match_join(candidates, slots, eligible_keys).where(
+        reached = _on_line(candidates, "first_match", slots, "_slot", eligible_keys).where(
             F.col("_slot").between(F.col("first_match"), F.col("last_match"))
-            & (F.pmod(F.col("_slot") - F.col("first_match"), F.col("period")) == 0)
         )
         slotted = reached.groupBy(*identity).agg(F.count("*").alias("slots"))
     precision = F.col("matched") / F.col("occurrences")
@@ -177,9 +192,9 @@ def missing_slots(
         eligible.where(F.col(eligible_order).isNotNull())
         .select(*eligible_keys, F.col(eligible_order).cast("bigint").alias("missing_order")).distinct()
     )
-    expected = match_join(match_join(fits.select(*keys, "period", "phase_start"), last, keys), slots, eligible_keys).where(
+    bounded = match_join(fits.select(*keys, "period", "phase_start"), last, keys)
+    expected = _on_line(bounded, "phase_start", slots, "missing_order", eligible_keys).where(
         F.col("missing_order").between(F.col("phase_start"), F.col("_last"))
-        & (F.pmod(F.col("missing_order") - F.col("phase_start"), F.col("period")) == 0)
     )
     seen = observed.select(*keys, F.col(order).cast("bigint").alias("missing_order")).distinct()
     return match_join(expected, seen, [*keys, "missing_order"], "left_anti").select(*keys, "missing_order")
@@ -312,9 +327,9 @@ def slot_schedule(
 ) -> DataFrame:
     """Expected slots of fitted periods that fall on an existing product, with their warning order."""
     slots = products.select(*product_keys, F.col(order).cast("bigint").alias("slot_order")).distinct()
-    return match_join(patterns.select(*keys, "period", "phase_start"), slots, product_keys).where(
-        (F.col("slot_order") >= F.col("phase_start"))
-        & (F.pmod(F.col("slot_order") - F.col("phase_start"), F.col("period")) == 0)
+    fits = patterns.select(*keys, "period", "phase_start")
+    return _on_line(fits, "phase_start", slots, "slot_order", product_keys).where(
+        F.col("slot_order") >= F.col("phase_start")
     ).withColumn("warn_at_order", F.col("slot_order") - lead).select(
         *keys, "period", "phase_start", "slot_order", "warn_at_order"
     )

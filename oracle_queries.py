@@ -410,10 +410,10 @@ _add("measurement_records", """SELECT 'M' || strftime(o_orderdate, '%Y%m') AS fi
     o_orderpriority AS variant, strftime(o_orderdate, '%Y-%m') AS batch, 'T1' AS ttnr, 'L' || (o_custkey % 7) AS line, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS test_date,
     date_trunc('minute', o_orderdate) AS result_timestamp, date_trunc('minute', o_orderdate) AS timestamp, 'wp' AS profile FROM orders""")
 _add("measurement_parameter_specs", """
-    SELECT file, 'Result.Total' AS parameter, CASE WHEN good > 0 THEN 1000.0 END AS lower, CASE WHEN good > 0 THEN 300000.0 END AS upper, bad AS unreadable_count,
+    SELECT file, 'Result.Total' AS parameter, CASE WHEN good > 0 THEN 1000.0::DOUBLE END AS lower, CASE WHEN good > 0 THEN 300000.0::DOUBLE END AS upper, bad AS unreadable_count,
         CASE WHEN good = 0 THEN 'no_valid_tolerance' WHEN bad > 0 THEN 'partially_invalid' ELSE 'valid' END AS parse_status
     FROM (SELECT 'M' || strftime(o_orderdate, '%Y%m') AS file, count(*) FILTER (o_custkey % 5 = 0) AS bad, count(*) FILTER (o_custkey % 5 <> 0) AS good FROM orders GROUP BY 1)
-    UNION ALL SELECT DISTINCT 'M' || strftime(o_orderdate, '%Y%m'), 'Result.Key', 0.0, 10000.0, 0, 'valid' FROM orders""")
+    UNION ALL SELECT DISTINCT 'M' || strftime(o_orderdate, '%Y%m'), 'Result.Key', 0.0::DOUBLE, 10000.0::DOUBLE, 0, 'valid' FROM orders""")
 
 # ------------------------------------------------------------------- passes and truth
 
@@ -645,7 +645,8 @@ CTES["track_ranks"] = """SELECT *, lag(x) OVER o1 AS xp, lead(x) OVER o1 AS xn,
     FROM track_points WINDOW o1 AS (PARTITION BY analysis_scope, station_id, band ORDER BY o)"""
 CTES["track_rows"] = """
     SELECT analysis_scope, station_id, band, count(*) AS occurrence_count, min(o) AS first_production_order, max(o) AS last_production_order, avg(y) AS mean_y, max(x) - min(x) AS xs, max(y) - min(y) AS ys,
-        coalesce(CASE WHEN count(DISTINCT x) > 1 THEN corr(ro, rx) END, 0) AS rho, count(*) FILTER (xp IS NOT NULL AND xn IS NOT NULL AND sign(x - xp) <> sign(xn - x)) AS turns,
+        coalesce(CASE WHEN count(DISTINCT x) > 1 THEN CAST(count(*) * sum(ro * CAST(rx * 2 AS BIGINT)) - sum(ro) * sum(CAST(rx * 2 AS BIGINT)) AS DOUBLE)
+            / sqrt(CAST(count(*) * sum(ro * ro) - sum(ro) * sum(ro) AS DOUBLE) * CAST(count(*) * sum(CAST(rx * 2 AS BIGINT) * CAST(rx * 2 AS BIGINT)) - sum(CAST(rx * 2 AS BIGINT)) * sum(CAST(rx * 2 AS BIGINT)) AS DOUBLE)) END, 0) AS rho, count(*) FILTER (xp IS NOT NULL AND xn IS NOT NULL AND sign(x - xp) <> sign(xn - x)) AS turns,
         min(score) AS low, string_agg(DISTINCT cluster_id, ';' ORDER BY cluster_id) AS related_cluster_ids
     FROM track_ranks GROUP BY ALL HAVING count(*) >= 4 AND max(x) - min(x) >= 0.05 AND max(y) - min(y) <= 0.04"""
 _add("spatial_trajectories", """SELECT station_id || '-T' || lpad(CAST(row_number() OVER (PARTITION BY analysis_scope, station_id ORDER BY band) AS VARCHAR), 3, '0') AS trajectory_id, analysis_scope, station_id, band,
