@@ -19,6 +19,24 @@ select doc_id, count(*) as n_lines, count(c.key) as n_dropped,
 from keyed k left join common c on k.key = c.key group by doc_id
 """
 
+NGRAM_JACCARD = rf"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s
+  from worded
+), members as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+links as (
+  select a.doc_id as a, b.doc_id as b from members a join members b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+    and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach as (
+  select doc_id, doc_id as other from sets union select r.doc_id, l.b from reach r join links l on r.other = l.a
+), least_of as (select doc_id, min(other) as component_id from reach group by doc_id)
+select s.doc_id, len(s.s) as n_shingles, component_id from sets s join least_of l on s.doc_id = l.doc_id
+"""
+
 CHAT_FORMAT = """
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -90,6 +108,7 @@ from normal window same as (partition by body order by chars desc, doc_id nulls
 
 ORACLES = {
     "op1_line_dedup": LINE_DEDUP,
+    "op2_ngram_jaccard": NGRAM_JACCARD,
     "op5_chat_format": CHAT_FORMAT,
     "op6_source_mix": SOURCE_MIX,
     "op10_exact_dedup": EXACT_DEDUP,
