@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from linewise.llm.arrow import GOLD, MIX1, WordHashes, hash_runs, list_array, mixed, small_batches
 from linewise.llm.graph import components
+from linewise.llm.joins import near_side
 from linewise.session import stored
 
-BROADCAST_ROWS = 500_000  # ids and pair lists below this are broadcast, above it joined by shuffle
 PIVOT_ROWS = 5_000        # partners of one pivot in one group of rows
 CALL_ROWS = 1_000         # pairs of one document in one row
 
@@ -177,11 +177,6 @@ def _postings(docs: DataFrame, rule: JoinRule, limits: list[tuple[int, int]], pl
     return docs.select("doc_id", "text").mapInArrow(run, "signature long, doc_id long, size int, own boolean")
 
 
-def _near(small: DataFrame) -> DataFrame:
-    """Broadcast hint where the stored side is small; the join is by shuffle beyond."""
-    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
-
-
 def _parted(pairs: DataFrame, key: str, other: str, rows: int) -> DataFrame:
     """Add part: the pairs of each ``key`` dealt into groups of about ``rows``."""
     groups = pairs.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("groups"))
@@ -197,7 +192,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame:
     dealt = _parted(calls.withColumnRenamed("part", "group"), "id", "pivot", CALL_ROWS)
     call = F.struct("pivot", F.col("group").alias("part"), "leads")
     wanted = stored(dealt.groupBy("id", "part").agg(F.collect_list(call).alias("calls")).drop("part"))
-    asked = docs.join(_near(wanted), docs["doc_id"] == wanted["id"]).select("id", "text", "calls")
+    asked = docs.join(near_side(wanted, salted), docs["doc_id"] == wanted["id"]).select("id", "text", "calls")
 
     kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
 
@@ -273,8 +268,9 @@ def similar_groups(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     shared = postings.groupBy("signature").agg(F.count("*").alias("n"), F.max("own").alias("owned")).where("n > 1 and owned").select("signature")
     met = postings.join(shared, "signature")
     plain = filled.groupBy("doc_id").agg(F.countDistinct("set_1", "set_2").alias("sets")).where("sets = 1")  # ids with one text
-    twins = copies.join(plain, copies["b"] == plain["doc_id"]).groupBy("doc_id").agg(F.min("a").alias("lead"))
-    met = met.join(_near(stored(twins)), "doc_id", "left").select("signature", F.coalesce("lead", "doc_id").alias("id"), "size", "own").distinct()
+    twins = stored(copies.join(plain, copies["b"] == plain["doc_id"]).groupBy("doc_id").agg(F.min("a").alias("lead")))
+    twins = near_side(twins, twins)
+    met = met.join(twins, "doc_id", "left").select("signature", F.coalesce("lead", "doc_id").alias("id"), "size", "own").distinct()
     met = stored(met)
     crowd = met.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(met.join(crowd, "signature"))

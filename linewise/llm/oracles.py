@@ -37,6 +37,24 @@ links as (
 select s.doc_id, len(s.s) as n_shingles, component_id from sets s join least_of l on s.doc_id = l.doc_id
 """
 
+SUBSTRING_DEDUP = r"""
+with worded as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), windows as (
+  select doc_id, s, md5(array_to_string(w[s:s + 34], ' ')) as code from (select doc_id, w, unnest(range(1, len(w) - 33)) as s from worded)
+), spans as (
+  select doc_id, list(s) as starts from windows where code in (select code from windows group by code having count(*) > 1) group by doc_id
+), places as (
+  select doc_id, w[p] as word, p from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from worded)
+), gone as (
+  select distinct doc_id, unnest(range(s, s + 35)) as p from (select doc_id, unnest(starts) as s from spans)
+)
+select d.doc_id, max(len(d.w)) as n_words, count(g.p) as n_removed,
+  sha256(coalesce(string_agg(word, ' ' order by p.p) filter (g.p is null), '')) as kept_sha256
+from worded d left join places p on d.doc_id = p.doc_id left join gone g on g.doc_id = p.doc_id and g.p = p.p
+group by d.doc_id
+"""
+
 CHAT_FORMAT = """
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -109,6 +127,7 @@ from normal window same as (partition by body order by chars desc, doc_id nulls
 ORACLES = {
     "op1_line_dedup": LINE_DEDUP,
     "op2_ngram_jaccard": NGRAM_JACCARD,
+    "op3_substring_dedup": SUBSTRING_DEDUP,
     "op5_chat_format": CHAT_FORMAT,
     "op6_source_mix": SOURCE_MIX,
     "op10_exact_dedup": EXACT_DEDUP,

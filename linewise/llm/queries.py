@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewise.llm import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join
+from linewise.llm import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +39,13 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(docs, ngram_join.JoinRule(words=3, percent=90))
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = substring_dedup.duplicate_spans(docs, substring_dedup.SpanRule(window=35))
+    return substring_dedup.cut_spans(docs, spans).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
