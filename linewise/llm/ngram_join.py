@@ -243,6 +243,13 @@ def _fits(a: str, b: str, rule: JoinRule):  # noqa: ANN202
     return 100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
 
 
+def one_of_each_group(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
+    """``docs`` without the documents whose group has a smaller doc_id; ungrouped documents stay."""
+    groups = similar_groups(docs.select("doc_id", "text"), rule)
+    gone = stored(groups.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(near_side(gone, gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+
+
 def similar_groups(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``; component_id is the smallest doc_id reachable."""
     sizes = stored(_sizes(docs, rule))

@@ -258,6 +258,18 @@ def score_documents(docs: DataFrame, model: ToxicModel) -> DataFrame:
     )
 
 
+def keep_harmless(docs: DataFrame, model: ToxicModel) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not predicted toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in small_batches(batches):
+            keep = [probability(features(text, model), model) < 0.5 for text in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     """True for rows that are never learned from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
