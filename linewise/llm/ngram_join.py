@@ -11,9 +11,12 @@ Two sets that link therefore share a signature, and every candidate is verified
 
 A set indexes its own band and probes the band below, so a pair meets in the band of the smaller.
 Equal sets are one class from the start. Per signature, members are verified against one pivot
-(the member with the most company); links join components, and only pairs of
-different components that meet are verified after that, so a group of near copies costs
-as many checks as members, not pairs. No partner or candidate is dropped.
+(the member with the most company), which also gives each member's difference from the pivot. Two
+members a, b of a pivot differ by |da| + |db| - 2 |da & db|; two members linked to the pivot are one component
+already, and any other pair can link only with an overlap of differences that grows with their
+sizes. So those pairs are found by a prefix filter on the differences, rarest elements first, and
+verified exactly from them: a group of near copies, linked or just short of it, costs about as many
+checks as members, not pairs. No partner or candidate is dropped.
 
 Defined results: null, empty or wordless text has an empty set and links with nothing; rows
 that share a doc_id are one node; a null doc_id is in no group (component null); fewer words than
@@ -183,8 +186,12 @@ def _parted(pairs: DataFrame, key: str, other: str, rows: int) -> DataFrame:
     return pairs.join(groups, key).withColumn("part", F.pmod(F.xxhash64(other), F.col("groups")).cast("int")).drop("groups")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame:
-    """Pairs (pivot, other) that link. Each set travels once per pair; a pivot with many partners is split."""
+def _differences(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame:
+    """pivot, base, id, own, base_size, size, delta, linked for pairs (pivot, other): each set minus the other.
+
+    base and own name the two sets, for ids with several texts. Each set travels once per pair; a pivot with
+    many partners is split.
+    """
     salted = stored(_parted(pairs, "pivot", "other", PIVOT_ROWS))
     calls = salted.select(F.col("other").alias("id"), "pivot", "part", F.lit(False).alias("leads")).union(
         salted.select(F.col("pivot").alias("id"), "pivot", "part", F.lit(True)).distinct()
@@ -218,29 +225,75 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leads = None, []  # the sets of the pivot's rows come first in the group
+        name = lambda data: int(np.frombuffer(xxhash.xxh3_64_digest(data), np.int64)[0])
+        kinds = (*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_())
         for batch in small_batches(batches):
-            pivots, others = [], []
+            out = []
             for pivot, part, follows, id_, data in zip(*[batch.column(n).to_pylist() for n in ("pivot", "part", "follows", "id", "data")], strict=True):
                 hashes = np.frombuffer(data, np.uint64)
                 if (pivot, part) != group:
                     group, leads = (pivot, part), []
                 if not follows:
-                    leads.append(hashes)
+                    leads.append((name(data), hashes))
                     continue
-                for lead in leads:
-                    common = len(np.intersect1d(lead, hashes, assume_unique=True))
-                    if 100 * common >= rule.percent * (len(lead) + len(hashes) - common) and common:
-                        pivots.append(pivot)
-                        others.append(id_)
-            yield pa.RecordBatch.from_arrays([pa.array(pivots, pa.int64()), pa.array(others, pa.int64())], names=["a", "b"])
+                for base, lead in leads:
+                    delta = np.setxor1d(lead, hashes, assume_unique=True)
+                    common = (len(lead) + len(hashes) - len(delta)) // 2
+                    linked = 100 * common >= rule.percent * (len(lead) + len(hashes) - common)
+                    out.append((pivot, base, id_, name(data), len(lead), len(hashes), delta.view(np.int64), linked))
+            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            arrays = [list_array(list(c), pa.int64()) if k == kinds[6] else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["pivot", "base", "id", "own", "base_size", "size", "delta", "linked"])
 
     sent = asked.mapInArrow(sets, "pivot long, part int, follows boolean, id long, data binary")
     grouped = sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "follows")
-    return grouped.mapInArrow(check, "a long, b long")
+    return grouped.mapInArrow(check, "pivot long, base long, id long, own long, base_size int, size int, delta array<long>, linked boolean")
+
+
+def _links_between_members(deltas: DataFrame, labels: DataFrame, rule: JoinRule) -> DataFrame:
+    """Links (a, b) between members of one pivot, of different components, at least one not linked to the pivot.
 
+    With c = (100 - percent) / (100 + percent), a and b link only if 2 |da & db| >= r(a) + r(b), r(x) = |dx| - c |x|.
+    The sum is above 0 for such pairs. Each member's least overlap t follows from the least r it can meet, and two
+    members with that overlap share one of their |d| - t + 1 rarest elements.
+    """
+    plus, minus = 100 + rule.percent, 100 - rule.percent
+    group = ["pivot", "base"]
+    named = deltas.join(labels, deltas["id"] == labels["node"], "left").select(
+        *group, "id", "own", "size", "delta", "linked", F.coalesce("component", "id").alias("component"),
+        (plus * F.size("delta") - minus * F.col("size")).cast("long").alias("r"),
+    )
+    bounds = named.groupBy(*group).agg(F.min("r").alias("any"), F.min(F.when(~F.col("linked"), F.col("r"))).alias("open"), F.count("*").alias("n"))
+    bounds = bounds.where("open is not null and n > 1")
+    least = F.greatest(F.lit(1), F.ceil((F.col("r") + F.when(F.col("linked"), F.col("open")).otherwise(F.col("any"))) / (2 * plus)))
+    members = stored(
+        named.join(bounds, group).withColumn("prefix", (F.size("delta") - least + 1).cast("int")).where("prefix > 0").drop("any", "open", "n")
+    )
+    elements = members.select(*group, "id", "own", "prefix", F.explode("delta").alias("e"))
+    often = elements.groupBy(*group, "e").agg(F.count("*").alias("n")).where("n > 1")
+    # elements of one member only are the rarest and meet nobody: they use up the prefix first
+    ranked = elements.join(often, [*group, "e"]).groupBy(*group, "id", "own", "prefix").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("held"))
+    light = members.select(*group, "id", "own", "component", "linked", F.size("delta").alias("whole"))
+    ranked = ranked.join(light, [*group, "id", "own"])
+    ranked = ranked.withColumn("keep", F.col("prefix") - (F.col("whole") - F.size("held"))).where("keep > 0")
+    prefixes = stored(ranked.select(*group, "id", "own", "component", "linked", F.explode(F.slice("held", F.lit(1), F.col("keep"))).alias("h")).withColumn("e", F.col("h.e")).drop("h"))
 
-def _fits(a: str, b: str, rule: JoinRule):  # noqa: ANN202
-    return 100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
+    def side(letter: str) -> DataFrame:
+        return prefixes.select(*group, "e", *[F.col(c).alias(f"{c}_{letter}") for c in ("id", "own", "component", "linked")])
+
+    key = lambda letter: F.struct(f"id_{letter}", f"own_{letter}")
+    met = side("a").where("not linked_a").join(side("b"), [*group, "e"]).where(
+        (F.col("component_a") != F.col("component_b")) & (F.col("linked_b") | (key("a") < key("b")))
+    ).select(*group, "id_a", "own_a", "id_b", "own_b").distinct()
+
+    def full(letter: str) -> DataFrame:
+        return members.select(*group, *[F.col(c).alias(f"{c}_{letter}") for c in ("id", "own", "size", "delta")])
+
+    pairs = met.join(full("a"), [*group, "id_a", "own_a"]).join(full("b"), [*group, "id_b", "own_b"])
+    total, overlap = F.col("size_a") + F.col("size_b"), F.size(F.array_intersect("delta_a", "delta_b"))
+    differ = F.size("delta_a") + F.size("delta_b") - 2 * overlap
+    # 100 * common >= percent * union with common = (total - differ) / 2 and union = (total + differ) / 2
+    return pairs.where(100 * (total - differ) >= rule.percent * (total + differ)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def one_of_each_group(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
@@ -284,29 +337,15 @@ def similar_groups(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     central = met.groupBy("id").agg(F.sum("n").alias("company"))
     met = stored(met.join(central, "id").select("signature", "id", "size", "own", "company"))
 
-    pivots = met.where("own").groupBy("signature").agg(F.max(F.struct("company", "id", "size")).alias("p"))
-    first = met.join(pivots, "signature").select(F.col("p.id").alias("pivot"), "id", "size", F.col("p.size").alias("pivot_size"))
-    pairs = stored(
-        first.where((F.col("pivot") != F.col("id")) & _fits("size", "pivot_size", rule))
-        .select(F.least("pivot", "id").alias("low"), F.greatest("pivot", "id").alias("high"), F.col("pivot"), F.col("id").alias("other"))
-        .groupBy("low", "high").agg(F.min(F.struct("pivot", "other")).alias("p")).select("low", "high", "p.pivot", "p.other")
-    )
-    links = stored(_verified(docs, pairs.select("pivot", "other"), rule))
-    labels = components(copies.union(links))
-
-    # pairs of different components that still meet
-    named = met.join(labels, met["id"] == labels["node"], "left").select("signature", "id", "size", "own", F.coalesce("component", "id").alias("component"))
-    mixed_ = named.groupBy("signature").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).where("lowest != highest")
-    open_ = stored(named.join(mixed_.select("signature"), "signature"))
-    left = open_.where("own").select("signature", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("of_a"))
-    right = open_.select("signature", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("of_b"), F.col("own").alias("own_b"))
-    cross = left.join(right, "signature").where(
-        (F.col("of_a") != F.col("of_b")) & (~F.col("own_b") | (F.col("a") < F.col("b"))) & _fits("size_a", "size_b", rule)
-    ).select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
-    cross = stored(cross.join(pairs.select("low", "high"), ["low", "high"], "left_anti"))
-    more = stored(_verified(docs, cross.select(F.col("low").alias("pivot"), F.col("high").alias("other")), rule))
+    pivots = met.where("own").groupBy("signature").agg(F.max(F.struct("company", "id")).alias("p"))
+    first = met.join(pivots, "signature").select(F.col("p.id").alias("pivot"), F.col("id").alias("other"))
+    pairs = stored(first.where("pivot != other").distinct())
+    deltas = stored(_differences(docs, pairs, rule))
+    links = copies.union(deltas.where("linked").select("pivot", "id"))
+    labels = components(links)
+    more = stored(_links_between_members(deltas, labels, rule))
     if not more.isEmpty():
-        labels = components(copies.union(links).union(more))
+        labels = components(links.union(more))
     return sizes.join(labels, sizes["doc_id"] == labels["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
