@@ -13,11 +13,11 @@ windows are one reference block; every block of the corpus is indexed by its anc
 
 So every window whose word sequence also starts elsewhere is found, and no other. Counts are
 aggregated before they are shuffled; a passage in a third of all documents costs one row a task
-and block. Anchor and window hashes together make 128 bits.
+and block. A block's name is its anchor and 64 bits more, a window's 64 bits and 32 of its anchor and place.
 
 Defined results: null text has no words; documents shorter than a window lose nothing; windows
 of one document count against each other; rows that share a doc_id are separate places, and spans
-carry a hash of the text they belong to; a null doc_id is an id like any; no rows give no rows; other
+carry a 32-bit hash of the text they belong to; a null doc_id is an id like any; no rows give no rows; other
 columns are not read.
 """
 
@@ -33,8 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewise.llm.arrow import WordHashes, hash_runs, mixed, small_batches
-from linewise.llm.joins import near_side
+from linewise.llm.arrow import WordHashes, hash_runs, list_array, mixed, small_batches
 from linewise.session import stored
 
 @dataclass(frozen=True)
@@ -79,7 +78,7 @@ def _block_names(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, off
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    return docs.select("doc_id", "text", F.hash("text").alias("digest"))
 
 
 def _of_text(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
@@ -113,38 +112,33 @@ def _blocks(docs: DataFrame, rule: SpanRule) -> DataFrame:
                 names=["anchor", "block", "doc_id", "digest", "start", "windows", "offset"],
             )
     return _hashed(docs).mapInArrow(
-        run, "anchor long, block long, doc_id long, digest long, start int, windows short, offset short"
+        run, "anchor long, block long, doc_id long, digest int, start int, windows short, offset short"
     )
 
 
 def _window_hashes(docs: DataFrame, wanted: DataFrame, rule: SpanRule) -> DataFrame:
-    """anchor, block, place (offset of the anchor in the window), window (hash) for the phrases in ``wanted``.
+    """anchor, block, doc_id, digest, start, offset, alone, windows (array of hashes) for the phrases in ``wanted``.
 
-    wanted: doc_id, digest, and phrases: array of (anchor, block, start, windows, offset).
+    wanted: doc_id, digest, and phrases: array of (digest, anchor, block, start, windows, offset, alone).
     """
-    asked = _of_text(docs, wanted, "inner").select("text", "phrases")
+    asked = _of_text(docs, wanted, "inner").select("doc_id", "text", "phrases")
+    passed = ("digest", "anchor", "block", "start", "offset", "alone")
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in small_batches(batches, 64):
-            anchors, blocks, counts, places, hashes = [], [], [], [], []
-            for text, asked_ in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("phrases").to_pylist(), strict=True):
-                windows = hash_runs(known.of((text or b"").split()), rule.window, seed=rule.window)
-                for p in asked_:
-                    anchors.append(p["anchor"])
-                    blocks.append(p["block"])
-                    counts.append(p["windows"])
-                    places.append(np.arange(p["offset"], p["offset"] - p["windows"], -1))
-                    hashes.append(windows[p["start"]:p["start"] + p["windows"]])
+            rows, found, hashes = [], [], []
+            for row, (text, phrases_) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("phrases").to_pylist(), strict=True)):
+                windows = hash_runs(known.of((text or b"").split()), rule.window, seed=rule.window).view(np.int64)
+                found += phrases_
+                rows += [row] * len(phrases_)
+                hashes += [windows[p["start"]:p["start"] + p["windows"]] for p in phrases_]
+            columns = [pa.array([p[name] for p in found], kind) for name, kind in zip(passed, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.array(anchors, np.int64), counts)), pa.array(np.repeat(np.array(blocks, np.int64), counts)),
-                    pa.array(np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int16)),
-                    pa.array(np.concatenate([*hashes, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)),
-                ],
-                names=["anchor", "block", "place", "window"],
+                [batch.column("doc_id").take(pa.array(rows, pa.int64())), *columns, list_array(hashes, pa.int64())], names=["doc_id", *passed, "windows"]
             )
-    return asked.mapInArrow(run, "anchor long, block long, place short, window long")
+    return asked.mapInArrow(run, "doc_id long, digest int, anchor long, block long, start int, offset short, alone boolean, windows array<long>")
 
 
 def duplicate_spans(docs: DataFrame, rule: SpanRule = SpanRule()) -> DataFrame:
@@ -166,22 +160,19 @@ def duplicate_spans(docs: DataFrame, rule: SpanRule = SpanRule()) -> DataFrame:
         "doc_id", "digest", "start", (F.col("start") + F.col("windows") + rule.window - 1).alias("end")
     )
 
-    # anchors with different blocks: their single windows, of one representative each
+    # anchors with different blocks: their single windows, of one representative each; blocks that occur twice are covered already
     differ = index.groupBy("anchor").agg(F.count("*").alias("blocks")).where("blocks > 1").select("anchor")
-    edges = stored(index.join(differ, "anchor"))
-    phrase = F.struct("anchor", "block", F.col("lead.start").alias("start"), F.col("lead.windows").alias("windows"), F.col("lead.offset").alias("offset"))
-    wanted = stored(
-        edges.groupBy(F.col("lead.doc_id").alias("doc_id"), F.col("lead.digest").alias("digest"))
-        .agg(F.collect_list(phrase).alias("phrases"))  # at most the phrases of one document
+    edges = index.join(differ, "anchor").select("anchor", "block", (F.col("n") == 1).alias("alone"), "lead.*")
+    phrase = F.struct("digest", "anchor", "block", "start", "windows", "offset", "alone")
+    wanted = stored(edges.groupBy("doc_id", "digest").agg(F.collect_list(phrase).alias("phrases")))  # at most the phrases of one document
+    # rows that repeat a document give a representative twice
+    windows = stored(_window_hashes(docs, wanted, rule).dropDuplicates(["anchor", "block"]))
+    place = F.col("offset") - F.col("k")
+    looked = windows.select("doc_id", "digest", "start", "alone", "anchor", "offset", F.posexplode("windows").alias("k", "window")).select(
+        "doc_id", "digest", (F.col("start") + F.col("k")).alias("start"), "alone", "window", F.hash("anchor", place).alias("where")
     )
-    windows = stored(_window_hashes(docs, near_side(wanted, edges), rule).distinct())
-    twice = windows.groupBy("anchor", "window", "place").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = windows.join(twice, ["anchor", "window", "place"]).groupBy("anchor", "block").agg(F.collect_set("place").alias("places"))
-    single = edges.where("n = 1")  # blocks that occur more than once are covered already
-    partly = single.join(hits, ["anchor", "block"]).select(
-        F.col("lead.doc_id").alias("doc_id"), F.col("lead.digest").alias("digest"),
-        F.explode("places").alias("place"), F.col("lead.start").alias("start"), F.col("lead.offset").alias("offset"),
-    ).select("doc_id", "digest", (F.col("start") + F.col("offset") - F.col("place")).alias("start")).withColumn("end", F.col("start") + rule.window)
+    twice = looked.groupBy("window", "where").agg(F.count("*").alias("n")).where("n > 1").select("window", "where")
+    partly = looked.where("alone").join(twice, ["window", "where"]).select("doc_id", "digest", "start", (F.col("start") + rule.window).alias("end"))
 
     spans = covered.unionByName(partly)
     return spans.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
