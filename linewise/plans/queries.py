@@ -213,7 +213,7 @@ def _catalog_sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
 @query
 def catalog_override(spark, folder):
     catalog, _ = evidence.load_catalog(*_catalog_sources(spark, folder))
-    return catalog.where("source = 1").select("layer", "code", "name", "region", "enabled", F.col("row").alias("source_row"))
+    return catalog.select("layer", "code", "name", "region", "enabled", "source", F.col("row").alias("source_row"))
 
 
 @query
@@ -225,7 +225,7 @@ def catalog_issues(spark, folder):
 @query
 def catalog_code_names(spark, folder):
     catalog, _ = evidence.load_catalog(*_catalog_sources(spark, folder))
-    return evidence.catalog_names(catalog.where("source = 1"))
+    return evidence.catalog_names(catalog)
 
 
 @query
@@ -337,10 +337,13 @@ def latest_process_values(spark, folder):
     return worksheets.latest_process_values(star.pass_parameters(spark, folder))
 
 
+WORK_STATIONS = [f"{line}_wp{place}" for line in ("35", "57") for place in range(1, 6)]
+
+
 @query
 def process_value_pivot(spark, folder):
     latest = worksheets.latest_process_values(star.pass_parameters(spark, folder))
-    names = [f"{station}.Result.{name}" for station in ("35_wp1", "35_wp2", "57_wp1") for name in ("Value", "K")]
+    names = [f"{station}.Result.{name}" for station in WORK_STATIONS for name in ("Value", "K")]
     wide = worksheets.process_frame(latest, names)
     return wide.select("dmc_raw", *[F.col(f"`{name}`").alias(name.replace(".", "_").lower()) for name in names])
 
@@ -410,7 +413,7 @@ def product_timelines(spark, folder):
 
 @query
 def recent_product_parameters(spark, folder):
-    return truth.recent_parameters(star.pass_parameters(spark, folder), 3).select("dmc_raw", "event_id", "parameter_name", "numeric_value", "recency")
+    return truth.recent_parameters(star.pass_parameters(spark, folder)).select("dmc_raw", "event_id", "parameter_name", "numeric_value", "recency")
 
 
 # -------------------------------------------------------------------------- sequences
@@ -843,14 +846,17 @@ def _view(spark, folder, selected=("5020",), source="AOI_FAILURE"):
     patterns = cut_lineage(sequence.classify_sequences(
         detections.where("cluster_id is not null"), keys, "production_order", CONFIG, products, keys[:2], "fixed_position_repeat", burst_reports_run=True
     ))
-    alerts = detections.where("detection_type = 'micro'").select("analysis_scope", "cluster_id", F.col("global_order").alias("alert_at_order"))
-    tracks = detections.select(
-        "analysis_scope", F.concat_ws("-", "station_id", "cluster_id").alias("trajectory_id"), F.col("global_order").cast("string").alias("task_orders")
-    )
+    alerts = detections.where("detection_type = 'micro'").select("analysis_scope", "cluster_id", F.col("detected_id").alias("alert_id"), "global_order")
+    tracks = detections.select("analysis_scope", F.concat_ws("-", "station_id", "cluster_id").alias("trajectory_id"), "global_order")
     space = cut_lineage(evidence.code_spatial(products, mapped, detections))
+    code_patterns = cut_lineage(sequence.code_patterns(codes, CONFIG, with_ids=False))
     frames = {
-        "patterns": patterns.drop("first_order", "last_order"), "alerts": alerts, "trajectories": tracks,
-        "code_patterns": cut_lineage(sequence.code_patterns(codes, CONFIG, with_ids=False)), "code_image_links": mapped, "code_space": space,
+        "patterns": patterns, "alerts": alerts, "trajectories": tracks,
+        "pattern_orders": detections.select(*keys, F.lit("observed").alias("role"), "global_order").distinct(),
+        "alert_orders": alerts.select("alert_id", "global_order"), "trajectory_orders": tracks.select("trajectory_id", "global_order"),
+        "code_pattern_orders": sequence.pattern_image_links(codes, code_patterns, mapped),
+        "code_space_orders": evidence.code_spatial_support(mapped, detections),
+        "code_patterns": code_patterns, "code_image_links": mapped, "code_space": space,
         "code_conflicts": evidence.label_conflicts(products, mapped), "normalized_codes": codes,
     }
     return views.result_view(frames, products, detections, CONFIG, selected, source)

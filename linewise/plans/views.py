@@ -14,9 +14,12 @@ from linewise.functions import is_blank, is_defect_status, order_array
 from linewise.operators.joining import match_join
 from linewise.operators.ordering import nearest_non_null, number_rows
 from linewise.operators.relations import category_events, cooccurrence, transitions
+from linewise.operators.sequence import CODE_GROUP, pattern_image_links
 from linewise.operators.sequence import code_patterns as find_code_patterns
 from linewise.session import cut_lineage
 
+PATTERN_KEYS = ["analysis_scope", "station_id", "cluster_id"]
+SPACE_KEYS = ["analysis_scope", "canonical_code", "source_type", "spatial_type", "spatial_id"]
 SECTIONS = ("periodic", "burst", "code", "trajectory", "cooccurrence", "transition", "other")
 
 
@@ -160,6 +163,12 @@ def code_relationships(products: DataFrame, links: DataFrame, selected: Sequence
     return pairs, moves
 
 
+def keep_by_evidence(frame: DataFrame, evidence: DataFrame, keys: Sequence[str], products: DataFrame) -> DataFrame:
+    """Rows of ``frame`` with at least one evidence row (keys, global_order) among ``products``."""
+    seen = evidence.join(products.select("global_order").distinct(), "global_order", "left_semi").select(*keys).distinct()
+    return match_join(frame, seen, keys, "left_semi")
+
+
 def result_view(
     frames: Mapping[str, DataFrame], products: DataFrame, detections: DataFrame, config: AnalysisConfig,
     selected_codes: Iterable[str] = (), code_source: str = "all", merge: bool = False,
@@ -167,7 +176,9 @@ def result_view(
     """Apply products, codes and source to every result table.
 
     A chosen code narrows products through explicit links; spatial patterns, alerts
-    and trajectories stay only if an association ties them to the code.
+    and trajectories stay only if an association ties them to the code. Every table is
+    filtered by its tall evidence table (``analyze`` stores them), whose global orders are
+    on the axis of ``products``; station orders are never compared with them.
     """
     selected = sorted({str(code) for code in selected_codes if str(code)})
     scopes = products.select("analysis_scope").where("analysis_scope is not null").distinct()
@@ -182,14 +193,14 @@ def result_view(
     def scoped(name: str) -> DataFrame:
         return frames[name].join(scopes, "analysis_scope", "left_semi")
 
-    patterns = filter_order_evidence(scoped("patterns"), products, ("observed_orders", "evidence_orders"), ("first_order",))
-    alerts = filter_order_evidence(scoped("alerts"), products, ("evidence_orders",), ("alert_at_order",))
-    tracks = filter_order_evidence(scoped("trajectories"), products, ("task_orders",))
+    patterns = keep_by_evidence(scoped("patterns"), frames["pattern_orders"].where("role = 'observed'"), PATTERN_KEYS, products)
+    alerts = keep_by_evidence(scoped("alerts"), frames["alert_orders"], ["alert_id"], products)
+    tracks = keep_by_evidence(scoped("trajectories"), frames["trajectory_orders"], ["trajectory_id"], products)
     if selected:
         ties = scoped("code_space").where(F.col("canonical_code").isin(selected))
         if code_source != "all" and "source_type" in ties.columns:
             ties = ties.where(F.col("source_type") == code_source)
-        ties = filter_order_evidence(ties, products, ("support_task_orders",))
+        ties = keep_by_evidence(ties, frames["code_space_orders"], SPACE_KEYS, products)
         clusters = ties.where("spatial_type = 'cluster'").select(F.col("spatial_id").alias("cluster_id")).distinct()
         paths = ties.where("spatial_type = 'trajectory'").select(F.col("spatial_id").alias("trajectory_id")).distinct()
         patterns = patterns.join(clusters, "cluster_id", "left_semi")
@@ -198,13 +209,14 @@ def result_view(
     if selected and merge:
         coded = find_code_patterns(frames["normalized_codes"], config, selected, merge=True)
         coded = coded.join(scopes, "analysis_scope", "left_semi")
+        coded_orders = pattern_image_links(frames["normalized_codes"], coded, frames["code_image_links"], selected, merge=True)
     else:
-        coded = scoped("code_patterns")
+        coded, coded_orders = scoped("code_patterns"), frames["code_pattern_orders"]
         if selected:
             coded = coded.where(F.col("canonical_code").isin(selected))
     if code_source != "all" and "source_type" in coded.columns:
         coded = coded.where(F.col("source_type") == code_source)
-    coded = filter_order_evidence(coded, products, ("evidence_task_orders",))
+    coded = keep_by_evidence(coded, coded_orders.where("role = 'observed'"), [*CODE_GROUP, "canonical_code"], products)
     pairs, moves = code_relationships(products, links, selected)
     conflicts = filter_order_evidence(scoped("code_conflicts"), visible, (), ("global_order",))
     sections = {

@@ -305,7 +305,6 @@ CTES["unpaired"] = """SELECT 'warning' AS level, r.station_id, r.dmc_raw, '' AS
     FROM image_rows r JOIN station_dim s USING (station_id) WHERE "view_A_path" IS NULL OR "view_E_path" IS NULL"""
 CTES["part_catalog"] = """SELECT p_partkey + 2 AS source_row, CASE p_size % 3 WHEN 0 THEN '5' WHEN 1 THEN '7' ELSE '' END AS layer, CAST(5000 + p_partkey % 90 AS VARCHAR) AS code,
     p_name AS name, p_brand AS region, p_size % 5 <> 0 AS enabled FROM part"""
-CTES["catalog_kept"] = "SELECT * FROM part_catalog WHERE layer <> '' QUALIFY row_number() OVER (PARTITION BY layer, code, region ORDER BY source_row DESC) = 1"
 CTES["sheet_events"] = """
     SELECT 'F' || strftime(test_date, '%Y%m%d') AS source_file, 'S' || (user_id % 3) AS source_sheet, seq * 4 + 3 AS source_row,
         'Block ' || (hour(test_date) // 12) AS station_title, p.*,
@@ -388,9 +387,16 @@ _add("remap_order_lists", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppk
 
 _add("station_catalog_checks", """SELECT 'station_count' AS "check", CAST(count(DISTINCT station_id) AS VARCHAR) AS detail FROM passes HAVING count(DISTINCT station_id) <> 17""")
 _add("station_usage", "SELECT station_id, station_group, s.location, image_profile, family_code, len(views) AS views, count(*) AS passes FROM passes JOIN station_dim s USING (station_id) GROUP BY ALL")
-_add("catalog_override", "SELECT layer, code, name, region, enabled, source_row FROM catalog_kept")
+CTES["builtin_catalog"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({row}, '{layer}', '{code}', '{name}', '{region}', {enabled})" for row, (layer, code, name, region, _, enabled, _) in enumerate(DEFECT_CODES, 2)
+) + ") t(source_row, layer, code, name, region, enabled)"
+CTES["catalog_all"] = """SELECT * FROM (SELECT 0 AS source, source_row, layer, code, name, region, enabled FROM builtin_catalog
+    UNION ALL SELECT 1, source_row, layer, code, name, region, enabled FROM part_catalog WHERE layer <> '')
+    QUALIFY row_number() OVER (PARTITION BY layer, code, region ORDER BY source DESC, source_row DESC) = 1"""
+_add("catalog_override", "SELECT layer, code, name, region, enabled, source, source_row FROM catalog_all")
 _add("catalog_issues", "SELECT 1 AS source, source_row, 'invalid layer/code/name' AS issue FROM part_catalog WHERE layer = ''")
-_add("catalog_code_names", """SELECT layer, code, string_agg(name, ' / ' ORDER BY p) AS defect_name FROM (SELECT layer, code, name, min(source_row) AS p FROM catalog_kept WHERE enabled GROUP BY ALL) GROUP BY ALL""")
+_add("catalog_code_names", """SELECT layer, code, string_agg(name, ' / ' ORDER BY p) AS defect_name
+    FROM (SELECT layer, code, name, min(source * 1000000000000 + source_row) AS p FROM catalog_all WHERE enabled GROUP BY ALL) GROUP BY ALL""")
 _add("image_product_index", """SELECT row_number() OVER (ORDER BY capture_date NULLS LAST, dmc_raw, station_id) AS global_order, r.*, s.image_profile AS camera, "view_A_path" AS a_image_path, "view_E_path" AS e_image_path,
     "view_A_path" IS NOT NULL AND "view_E_path" IS NOT NULL AS has_primary_pair FROM image_rows r JOIN station_dim s USING (station_id)""")
 _add("image_issues", """SELECT level, station_id, issue, count(*) AS files, count(DISTINCT dmc_raw) AS products FROM (SELECT * FROM issue_rows UNION ALL SELECT * FROM unpaired) GROUP BY ALL""")
@@ -430,7 +436,7 @@ _add("clean_pass_history", """SELECT event_id, dmc_raw, station_id, test_date, p
 _add("first_product_fields", """SELECT dmc_raw, arg_min(ttnr, test_date) FILTER (ttnr IS NOT NULL) AS ttnr, arg_min(variant, test_date) AS variant, arg_min(batch, test_date) AS batch FROM passes GROUP BY 1""")
 _add("latest_process_values", """SELECT dmc_raw, feature, value FROM (SELECT dmc_raw, station_id || '.' || parameter_name AS feature, numeric_value AS value, test_date, source_row FROM pass_parameters
     WHERE regexp_matches(station_id, '_wp[1-5]$') AND numeric_value IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY dmc_raw, feature ORDER BY test_date DESC, source_row DESC) = 1""")
-_PIVOT = [(f"{station}_result_{name}".lower(), f"{station}.Result.{name}") for station in ("35_wp1", "35_wp2", "57_wp1") for name in ("Value", "K")]
+_PIVOT = [(f"{station}_result_{name}".lower(), f"{station}.Result.{name}") for station in [f"{line}_wp{place}" for line in ("35", "57") for place in range(1, 6)] for name in ("Value", "K")]
 _add("process_value_pivot", "SELECT dmc_raw, " + ", ".join(f"""max(value) FILTER (feature = '{feature}') AS "{name}" """ for name, feature in _PIVOT) + f" FROM ({ORACLES['latest_process_values']}) GROUP BY 1")
 _add("truth_match", """
     SELECT q.station_id, q.dmc_raw, q.capture_date, q.has_primary_pair, e.event_id AS aoi_event_id, e.test_date AS aoi_test_date, e.state AS aoi_state,
@@ -448,7 +454,7 @@ _add("code_product_links", "SELECT analysis_scope, source_type, event_id, dmc_ra
 _add("unsequenced_detections", "SELECT detected_id, global_order, station_id, detection_type FROM detections WHERE global_order NOT IN (SELECT global_order FROM products WHERE evidence_status = 'evaluable')")
 _add("product_timelines", "SELECT dmc_raw, row_number() OVER (PARTITION BY dmc_raw ORDER BY test_date, source_sheet, seq, event_id) AS visit, test_date, station_id, state FROM passes")
 _add("recent_product_parameters", """SELECT dmc_raw, event_id, parameter_name, numeric_value, row_number() OVER (PARTITION BY dmc_raw ORDER BY test_date DESC, source_row DESC, parameter_name DESC, event_id DESC) AS recency
-    FROM pass_parameters WHERE numeric_value IS NOT NULL QUALIFY recency <= 3""")
+    FROM pass_parameters WHERE numeric_value IS NOT NULL QUALIFY recency <= 20""")
 
 # -------------------------------------------------------------------------- sequences
 

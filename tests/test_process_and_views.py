@@ -73,14 +73,20 @@ def test_repeated_parameter_rows_are_averaged(spark):
 def frames(spark):
     make = spark.createDataFrame
     return {
-        "patterns": make([("5S", "P1", "periodic", "C1", "1;2", 1), ("5S", "P2", "fixed_position_repeat", "C2", "3", 3)], "analysis_scope string, pattern_id string, pattern_type string, cluster_id string, observed_orders string, first_order bigint"),
-        "alerts": make([("5S", "C1", 2), ("5S", "C2", 3)], "analysis_scope string, cluster_id string, alert_at_order bigint"),
-        "trajectories": make([("5S", "T1", "1;2"), ("5S", "T2", "3")], "analysis_scope string, trajectory_id string, task_orders string"),
-        "code_patterns": make([("5S", "5520", "AOI_FAILURE", "1;2"), ("5S", "7000", "AOI_FAILURE", "3")], "analysis_scope string, canonical_code string, source_type string, evidence_task_orders string"),
+        "patterns": make([("5S", "S", "P1", "periodic", "C1"), ("5S", "S", "P2", "fixed_position_repeat", "C2")], "analysis_scope string, station_id string, pattern_id string, pattern_type string, cluster_id string"),
+        "pattern_orders": make([("5S", "S", c, "observed", o) for c, o in (("C1", 1), ("C1", 2), ("C2", 3))], "analysis_scope string, station_id string, cluster_id string, role string, global_order bigint"),
+        "alerts": make([("5S", "A1", "C1"), ("5S", "A2", "C2")], "analysis_scope string, alert_id string, cluster_id string"),
+        "alert_orders": make([("A1", 2), ("A2", 3)], "alert_id string, global_order bigint"),
+        "trajectories": make([("5S", "T1"), ("5S", "T2")], "analysis_scope string, trajectory_id string"),
+        "trajectory_orders": make([("T1", 1), ("T1", 2), ("T2", 3)], "trajectory_id string, global_order bigint"),
+        "code_patterns": make([("5S", "S", "AOI_FAILURE", "5520"), ("5S", "S", "AOI_FAILURE", "7000")], "analysis_scope string, station_id string, source_type string, canonical_code string"),
+        "code_pattern_orders": make([("5S", "S", "AOI_FAILURE", c, "observed", o) for c, o in (("5520", 1), ("5520", 2), ("7000", 3))], "analysis_scope string, station_id string, source_type string, canonical_code string, role string, global_order bigint"),
         "code_image_links": make([("5S", 1, "5520", "AOI_FAILURE", "defect"), ("5S", 1, "6000", "AOI_FAILURE", "defect"), ("5S", 2, "5520", "AOI_FAILURE", "defect"), ("5S", 3, "7000", "AOI_FAILURE", "defect")],
                                  "analysis_scope string, global_order bigint, canonical_code string, source_type string, code_status string"),
-        "code_space": make([("5S", "5520", "AOI_FAILURE", "cluster", "C1", "1;2"), ("5S", "5520", "AOI_FAILURE", "trajectory", "T1", "1;2"), ("5S", "7000", "AOI_FAILURE", "cluster", "C2", "3")],
-                           "analysis_scope string, canonical_code string, source_type string, spatial_type string, spatial_id string, support_task_orders string"),
+        "code_space": make([("5S", "5520", "AOI_FAILURE", "cluster", "C1"), ("5S", "5520", "AOI_FAILURE", "trajectory", "T1"), ("5S", "7000", "AOI_FAILURE", "cluster", "C2")],
+                           "analysis_scope string, canonical_code string, source_type string, spatial_type string, spatial_id string"),
+        "code_space_orders": make([("5S", "5520", "AOI_FAILURE", "cluster", "C1", 1), ("5S", "5520", "AOI_FAILURE", "trajectory", "T1", 2), ("5S", "7000", "AOI_FAILURE", "cluster", "C2", 3)],
+                                  "analysis_scope string, canonical_code string, source_type string, spatial_type string, spatial_id string, global_order bigint"),
         "code_conflicts": make([], "analysis_scope string, global_order bigint"),
     }
 
@@ -131,3 +137,27 @@ def test_whole_job_writes_every_table(spark, tmp_path):
     assert read("scopes/alerts").where("analysis_scope = '5S'").count() == read("alerts").count() > 0
     total = spark.read.json(f"{folder}/analysis_summary").where("analysis_scope is null").first()
     assert (total["product_count"], total["defect_count"], total["burst_pattern_count"]) == (8, 8, 1)
+
+
+def test_view_of_the_engines_own_output_on_another_axis(spark):
+    """Global orders are not station orders: nothing may vanish from an unfiltered view, and a filter must use the task axis."""
+    from linewise.plans.analysis import analyze, view_frames
+
+    products = spark.createDataFrame([("5S", "35_5s_aoi", 1000 + i, i, f"D{i}", f"A{i}", "evaluable", f"2026-06-10 10:{i:02d}:00") for i in range(1, 41)],
+                                     "analysis_scope string, station_id string, global_order bigint, production_order bigint, dmc_raw string, aoi_event_id string, evidence_status string, aoi_test_date string")
+    marks = [(f"X{i}", 1000 + i, 0.3, 0.3, "local", 12) for i in range(11, 17)] + [(f"Y{i}", 1000 + i, 0.8, 0.7, "local", 12) for i in range(3, 41, 6)]
+    detections = spark.createDataFrame(marks, "detected_id string, global_order bigint, center_x_norm double, center_y_norm double, detection_type string, component_area int")
+    passes = spark.createDataFrame([(f"A{i}", f"D{i}", "35_5s_aoi", "NOK", "AOI", i, "501100000000" if 11 <= i < 17 else "100000000000") for i in range(1, 41)],
+                                   "event_id string, dmc_raw string, station_id string, state string, source_sheet string, production_order bigint, aoi_failure_code string").withColumn("test_date", F.lit(None).cast("timestamp_ntz"))
+    frames = view_frames(analyze(products, detections, passes, CONFIG).frames)
+    tracked = detections.withColumn("cluster_id", F.lit(None).cast("string"))
+    whole = views.result_view(frames, products, tracked, CONFIG)
+    assert whole.sections["periodic"].count() == 1 and whole.sections["burst"].count() == 1
+    assert "5011" in {r["canonical_code"] for r in whole.sections["code"].collect()}
+    assert whole.alerts.count() == frames["alerts"].count() > 2
+    burst_only = views.result_view(frames, products.where("global_order between 1013 and 1014"), tracked, CONFIG)
+    assert burst_only.sections["periodic"].count() == 0 and burst_only.sections["burst"].count() == 1
+    orders = frames["pattern_orders"].where("role = 'observed'").groupBy("cluster_id").agg(F.min("global_order").alias("a"), F.max("global_order").alias("b")).collect()
+    assert {(r["a"], r["b"]) for r in orders} == {(1011, 1016), (1003, 1039)}
+    none = views.result_view(frames, products.where("global_order = 1001"), tracked, CONFIG)
+    assert all(none.sections[name].count() == 0 for name in ("periodic", "burst", "other", "trajectory")) and none.alerts.count() == 0

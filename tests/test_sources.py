@@ -154,6 +154,7 @@ def test_tables_and_run_folder(spark, tmp_path):
         with tables.RunFolder(spark, str(tmp_path / "runs"), "bad") as folder:
             folder.write({"products": products})
             raise RuntimeError
-    assert (tmp_path / "runs" / f"{folder.name}_failed").is_dir()
+    assert [tables.run_status(spark, f) for f in (*folders, folder.final)] == ["complete", "complete", "failed"]
+    assert tables.folder_name("Straße / week 7 " + "x" * 200) == "Straße-week-7-" + "x" * 200
     with pytest.raises(ValueError):
-        tables.safe_name(" .")
+        tables.folder_name(" .")
