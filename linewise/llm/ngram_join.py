@@ -16,7 +16,10 @@ members a, b of a pivot differ by |da| + |db| - 2 |da & db|; two members linked
 already, and any other pair can link only with an overlap of differences that grows with their
 sizes. So those pairs are found by a prefix filter on the differences, rarest elements first, and
 verified exactly from them: a group of near copies, linked or just short of it, costs about as many
-checks as members, not pairs. No partner or candidate is dropped.
+checks as members, not pairs. A member less than half like its pivot met it by chance; it cannot link
+with a member that is linked to the pivot (Jaccard distance is a metric), and is checked against the
+others that meet it, where sizes and the distance of 64 shingle counts, a lower bound of the sets'
+distance, leave a link possible. No partner that can link is dropped.
 
 Defined results: null, empty or wordless text has an empty set and links with nothing; rows
 that share a doc_id are one node; a null doc_id is in no group (component null); fewer words than
@@ -96,18 +99,18 @@ def allocate(low: int, high: int, percent: int, population: int) -> Allocation:
     """The cheapest valid allocation for ``population`` sets of the band."""
     differences, size = most_differences(low, high, percent), (low + high) / 2
     best, least = None, math.inf
-    for skipped in range(4):
+    # long sets have hundreds of empty segments, so what may be left out is tried in proportion too
+    for skipped in sorted({0, 1, 2, 3, *(math.ceil(differences * part / 200) for part in (1, 2, 4, 6, 8, 10, 14, 20, 30))}):
         for deletions in {0, skipped, 2 * skipped}:
             segments = differences + 1 + 2 * skipped - deletions
             if deletions + skipped > segments:
                 continue
             signatures = segments - deletions - skipped + deletions * (1 + size / segments)
-            # segments left with no shingle after the poorest are skipped meet by chance
-            empty = math.exp(-size / segments)
-            spare = sum(
-                (j - skipped) * math.comb(segments, j) * empty**j * (1 - empty) ** (segments - j)
-                for j in range(skipped + 1, min(segments, skipped + 20) + 1)
-            ) if segments < 900 else max(0.0, segments * empty - skipped)
+            # segments of the smallest sets left with no shingle after the poorest are skipped meet by chance
+            empty = math.exp(-low / segments)
+            spread = math.sqrt(segments * empty * (1 - empty))
+            over = (skipped - segments * empty) / spread
+            spare = spread * (math.exp(-over * over / 2) / math.sqrt(2 * math.pi) - over * math.erfc(over / math.sqrt(2)) / 2)
             cost = signatures + population / 2 * spare * spare / segments
             if cost < least:
                 best, least = Allocation(low, high, differences, segments, deletions, skipped), cost
@@ -149,13 +152,13 @@ def _sizes(docs: DataFrame, rule: JoinRule) -> DataFrame:
 
 
 def _postings(docs: DataFrame, rule: JoinRule, limits: list[tuple[int, int]], plans: dict[int, Allocation]) -> DataFrame:
-    """signature, doc_id, size, own (indexed in its own band; else it probes the band below)."""
+    """signature, doc_id, own (indexed in its own band; else it probes the band below)."""
     lows = np.array([low for low, _ in limits])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in small_batches(batches):
-            ids, codes, sizes, owns, counts = batch.column("doc_id"), [], [], [], []
+            ids, codes, owns, counts = batch.column("doc_id"), [], [], []
             rows = []
             for row, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 hashes = shingles(text, rule.words, known)
@@ -168,16 +171,15 @@ def _postings(docs: DataFrame, rule: JoinRule, limits: list[tuple[int, int]], pl
                         continue
                     codes.append(signatures(hashes, plan))
                     rows.append(row)
-                    sizes.append(len(hashes))
                     owns.append(at == band)
                     counts.append(len(codes[-1]))
             flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(flat.view(np.int64)), ids.take(pa.array(np.repeat(np.array(rows, np.int64), counts))),
-                 pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.repeat(np.array(owns, bool), counts))],
-                names=["signature", "doc_id", "size", "own"],
+                 pa.array(np.repeat(np.array(owns, bool), counts))],
+                names=["signature", "doc_id", "own"],
             )
-    return docs.select("doc_id", "text").mapInArrow(run, "signature long, doc_id long, size int, own boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "signature long, doc_id long, own boolean")
 
 
 def _parted(pairs: DataFrame, key: str, other: str, rows: int) -> DataFrame:
@@ -187,7 +189,9 @@ def _parted(pairs: DataFrame, key: str, other: str, rows: int) -> DataFrame:
 
 
 def _differences(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame:
-    """pivot, base, id, own, base_size, size, delta, linked for pairs (pivot, other): each set minus the other.
+    """pivot, base, id, own, size, delta, linked, far, counts for pairs (pivot, other): each set minus the other.
+
+    far pairs (less than half alike) have no delta; members that are not linked have 64 shingle counts, four to a number.
 
     base and own name the two sets, for ids with several texts. Each set travels once per pair; a pivot with
     many partners is split.
@@ -226,7 +230,7 @@ def _differences(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leads = None, []  # the sets of the pivot's rows come first in the group
         name = lambda data: int(np.frombuffer(xxhash.xxh3_64_digest(data), np.int64)[0])
-        kinds = (*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_())
+        kinds, none = (*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.list_(pa.int64())), np.zeros(0, np.int64)
         for batch in small_batches(batches):
             out = []
             for pivot, part, follows, id_, data in zip(*[batch.column(n).to_pylist() for n in ("pivot", "part", "follows", "id", "data")], strict=True):
@@ -240,14 +244,16 @@ def _differences(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame
                     delta = np.setxor1d(lead, hashes, assume_unique=True)
                     common = (len(lead) + len(hashes) - len(delta)) // 2
                     linked = 100 * common >= rule.percent * (len(lead) + len(hashes) - common)
-                    out.append((pivot, base, id_, name(data), len(lead), len(hashes), delta.view(np.int64), linked))
+                    far = not linked and 3 * common < len(lead) + len(hashes)
+                    counts = none if linked else np.minimum(np.bincount((hashes % np.uint64(64)).astype(np.int64), minlength=64), 32_767).astype("<i2").view(np.int64)
+                    out.append((pivot, base, id_, name(data), len(hashes), none if far else delta.view(np.int64), linked, far, counts))
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
-            arrays = [list_array(list(c), pa.int64()) if k == kinds[6] else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["pivot", "base", "id", "own", "base_size", "size", "delta", "linked"])
+            arrays = [list_array(list(c), pa.int64()) if k == kinds[5] else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["pivot", "base", "id", "own", "size", "delta", "linked", "far", "counts"])
 
     sent = asked.mapInArrow(sets, "pivot long, part int, follows boolean, id long, data binary")
     grouped = sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "follows")
-    return grouped.mapInArrow(check, "pivot long, base long, id long, own long, base_size int, size int, delta array<long>, linked boolean")
+    return grouped.mapInArrow(check, "pivot long, base long, id long, own long, size int, delta array<long>, linked boolean, far boolean, counts array<long>")
 
 
 def _links_between_members(deltas: DataFrame, labels: DataFrame, rule: JoinRule) -> DataFrame:
@@ -259,7 +265,7 @@ def _links_between_members(deltas: DataFrame, labels: DataFrame, rule: JoinRule)
     """
     plus, minus = 100 + rule.percent, 100 - rule.percent
     group = ["pivot", "base"]
-    named = deltas.join(labels, deltas["id"] == labels["node"], "left").select(
+    named = deltas.where("not far").join(labels, deltas["id"] == labels["node"], "left").select(
         *group, "id", "own", "size", "delta", "linked", F.coalesce("component", "id").alias("component"),
         (plus * F.size("delta") - minus * F.col("size")).cast("long").alias("r"),
     )
@@ -296,6 +302,32 @@ def _links_between_members(deltas: DataFrame, labels: DataFrame, rule: JoinRule)
     return pairs.where(100 * (total - differ) >= rule.percent * (total + differ)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
+def _pairs_of_far_members(met: DataFrame, pivots: DataFrame, deltas: DataFrame, labels: DataFrame, rule: JoinRule) -> DataFrame:
+    """Pairs (pivot, other) that share a signature and can link, both not linked to its pivot, at least one far from it."""
+    words = [f"c{i}" for i in range(16)]
+    open_ = deltas.where("not linked").groupBy("pivot", "id", "own").agg(F.max("far").alias("far"), F.first("size").alias("size"), F.first("counts").alias("counts"))
+    open_ = open_.select("pivot", "id", "far", "size", *[F.get("counts", i).alias(name) for i, name in enumerate(words)])
+    members = met.select("signature", "id", "own").join(pivots.select("signature", F.col("p.id").alias("pivot")), "signature").join(open_, ["pivot", "id"])
+    members = members.join(labels, members["id"] == labels["node"], "left").select("signature", "id", "own", "far", F.coalesce("component", "id").alias("component"), "size", *words)
+    some = members.groupBy("signature").agg(F.max("far").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("signature")
+    # few bytes, but much to compare: the partitions are not to be merged
+    partitions = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = stored(members.join(some, "signature")).repartition(partitions, "signature")
+
+    def side(letter: str) -> DataFrame:
+        return members.select("signature", *[F.col(c).alias(f"{c}_{letter}") for c in ("id", "own", "far", "component", "size", *words)])
+
+    count = lambda name, at: f"(shiftright({name}, {at}) & 65535L)"
+    apart = F.expr(" + ".join(f"abs({count(f'{w}_a', at)} - {count(f'{w}_b', at)})" for w in words for at in (0, 16, 32, 48)))
+    plus, minus = 100 + rule.percent, 100 - rule.percent
+    pairs = side("a").where("far_a").join(side("b"), "signature").where(
+        (F.col("component_a") != F.col("component_b")) & (F.col("own_a") | F.col("own_b")) & (~F.col("far_b") | (F.col("id_a") < F.col("id_b")))
+        & (100 * F.least("size_a", "size_b") >= rule.percent * F.greatest("size_a", "size_b")) & (plus * apart <= minus * (F.col("size_a") + F.col("size_b")))
+    ).select(F.least("id_a", "id_b").alias("low"), F.greatest("id_a", "id_b").alias("high")).distinct()
+    done = deltas.select(F.least("pivot", "id").alias("low"), F.greatest("pivot", "id").alias("high")).distinct()
+    return pairs.join(done, ["low", "high"], "left_anti").select(F.col("low").alias("pivot"), F.col("high").alias("other"))
+
+
 def one_of_each_group(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     """``docs`` without the documents whose group has a smaller doc_id; ungrouped documents stay."""
     groups = similar_groups(docs.select("doc_id", "text"), rule)
@@ -330,12 +362,12 @@ def similar_groups(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     plain = filled.groupBy("doc_id").agg(F.countDistinct("set_1", "set_2").alias("sets")).where("sets = 1")  # ids with one text
     twins = stored(copies.join(plain, copies["b"] == plain["doc_id"]).groupBy("doc_id").agg(F.min("a").alias("lead")))
     twins = near_side(twins, twins)
-    met = met.join(twins, "doc_id", "left").select("signature", F.coalesce("lead", "doc_id").alias("id"), "size", "own").distinct()
+    met = met.join(twins, "doc_id", "left").select("signature", F.coalesce("lead", "doc_id").alias("id"), "own").distinct()
     met = stored(met)
     crowd = met.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(met.join(crowd, "signature"))
     central = met.groupBy("id").agg(F.sum("n").alias("company"))
-    met = stored(met.join(central, "id").select("signature", "id", "size", "own", "company"))
+    met = stored(met.join(central, "id").select("signature", "id", "own", "company"))
 
     pivots = met.where("own").groupBy("signature").agg(F.max(F.struct("company", "id")).alias("p"))
     first = met.join(pivots, "signature").select(F.col("p.id").alias("pivot"), F.col("id").alias("other"))
@@ -343,7 +375,9 @@ def similar_groups(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     deltas = stored(_differences(docs, pairs, rule))
     links = copies.union(deltas.where("linked").select("pivot", "id"))
     labels = components(links)
-    more = stored(_links_between_members(deltas, labels, rule))
+    far = stored(_pairs_of_far_members(met, pivots, deltas, labels, rule))
+    more = _links_between_members(deltas, labels, rule).union(_differences(docs, far, rule).where("linked").select("pivot", "id"))
+    more = stored(more)
     if not more.isEmpty():
         labels = components(links.union(more))
     return sizes.join(labels, sizes["doc_id"] == labels["node"], "left").select(
