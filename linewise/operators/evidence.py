@@ -15,7 +15,7 @@ from linewise.functions import (
     aoi_code, aoi_code_status, association_strength, blank_to_null, clean_text, is_blank, is_defect_status,
     layer_of_scope, norm_key, scope_of_station, vi_code, vi_code_status,
 )
-from linewise.operators.joining import match_join
+from linewise.operators.joining import lookup_join, match_join
 
 CATALOG_FIELDS = ["layer", "code", "name", "region", "description", "enabled", "version"]
 CODE_FIELDS = [
@@ -126,7 +126,7 @@ def normalize_codes(passes: DataFrame, catalog: DataFrame) -> DataFrame:
         F.col("layer").alias("_layer"), F.col("code").alias("canonical_code"), "defect_name"
     )
     rows = aoi.unionByName(vi).withColumn("_layer", layer_of_scope(F.col("analysis_scope")))
-    named = match_join(rows, names, ["_layer", "canonical_code"], "left")
+    named = lookup_join(rows, names, ["_layer", "canonical_code"], "left")  # a few codes hold most rows
     return named.withColumn("defect_name", F.coalesce("defect_name", F.lit(""))).select(*CODE_FIELDS)
 
 
@@ -164,7 +164,9 @@ def map_codes(products: DataFrame, codes: DataFrame) -> DataFrame:
     for more in parts[1:]:
         mapped = mapped.unionByName(more)
     identity = [name for name in ("source_type", "event_id", "canonical_code", "global_order") if name in mapped.columns]
-    return mapped.dropDuplicates(identity)
+    rest = [name for name in mapped.columns if name not in identity]
+    # of equal identities the least row stays, whatever order the tasks ran in
+    return mapped.groupBy(*identity).agg(F.min(F.struct(*rest)).alias("_r")).select(*identity, "_r.*").select(*mapped.columns)
 
 
 # ------------------------------------------------------------- associations, conflicts

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linewise.session import cut_lineage
 
-BROADCAST_ROWS = 200_000
+BROADCAST_CELLS = 1_000_000  # numbers or short texts: about 30 MB
 
 
 def match_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -29,14 +29,18 @@ def match_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def lookup_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS
+    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_CELLS
 ) -> DataFrame:
     """``match_join`` for a derived side that is usually tiny.
 
-    The small side is stored and counted first: up to ``limit`` rows it is broadcast,
-    so the big side keeps its partitions and is not shuffled; above that the join is
-    an ordinary shuffle join.
+    The small side is stored and its cells (columns of every row, and every array
+    element) are counted first: up to ``limit`` cells it is broadcast, so the big side
+    keeps its partitions and is not shuffled; above that the join is an ordinary
+    shuffle join.
     """
     stored = cut_lineage(small)
-    fits = stored.limit(limit + 1).count() <= limit
+    arrays = [name for name, kind in stored.dtypes if kind.startswith(("array", "map"))]
+    cells = reduce(lambda a, b: a + b, [F.greatest(F.lit(0), F.coalesce(F.size(name), F.lit(0))) for name in arrays], F.lit(len(stored.columns)))
+    counted = stored.limit(limit + 1).agg(F.sum(cells.cast("long"))).first()[0]
+    fits = (counted or 0) <= limit
     return match_join(big, F.broadcast(stored) if fits else stored, keys, how)

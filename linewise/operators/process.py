@@ -17,6 +17,7 @@ from linewise.functions import blank_to_null, is_analyzable, is_blank, is_defect
 from linewise.operators.joining import match_join
 from linewise.operators.ordering import nearest_non_null, number_rows, totals_before
 from linewise.operators.quality import numeric_columns
+from linewise.session import cut_lineage
 
 SCOPE = "analysis_scope"
 
@@ -357,7 +358,7 @@ def logistic_importance(
     """Standardised L2-logistic coefficients with relative importance and hold-out AUC."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     spark = joined.sparkSession
@@ -372,6 +373,7 @@ def logistic_importance(
     if classes["n"] < 20 or classes["low"] == classes["high"]:
         return empty, {"validation_method": "too few samples", "validation_auc": None}
     flagged, method = split_holdout(typed, target, batch)
+    flagged = cut_lineage(flagged)
     by_part = {row["holdout"]: row for row in flagged.groupBy("holdout").agg(
         F.min(target).alias("low"), F.max(target).alias("high")).collect()}  # at most two rows
     one_class = len(by_part) < 2 or any(row["low"] == row["high"] for row in by_part.values())
@@ -379,15 +381,19 @@ def logistic_importance(
         method = "fitted on all rows (hold-out lacks a class)"
     train = flagged if one_class else flagged.where(~F.col("holdout"))
     filled = [f"_f{i}" for i in range(len(names))]
+    middle = train.agg(*[F.median(name).alias(f) for name, f in zip(names, filled)]).first()  # exact; one row
+
+    def imputed(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({f: F.coalesce(F.nanvl(F.col(name), F.lit(None)), F.lit(middle[f]), F.lit(0.0)) for name, f in zip(names, filled)})
+
     model = Pipeline(stages=[
-        Imputer(strategy="median", inputCols=names, outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True),
         LogisticRegression(
             featuresCol="_x", labelCol=target, regParam=0.01, elasticNetParam=0.0, standardization=False,
             probabilityCol="_p", maxIter=200, tol=1e-9,
         ),
-    ]).fit(train)
+    ]).fit(imputed(train))
     weights = [float(value) for value in model.stages[-1].coefficients]
     total = sum(map(abs, weights)) or 1.0
     importance = spark.createDataFrame(
@@ -395,7 +401,7 @@ def logistic_importance(
     )
     score = None
     if not one_class:
-        scored = model.transform(flagged.where("holdout")).select(
+        scored = model.transform(imputed(flagged.where("holdout"))).select(
             vector_to_array("_p")[1].alias("_score"), F.col(target).alias("_y")
         )
         score = auc(scored, [], "_score", "_y").first()["auc"]
