@@ -36,7 +36,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewise.llm.arrow import GOLD, MIX1, WordHashes, hash_runs, list_array, mixed, small_batches
@@ -356,9 +356,11 @@ def similar_groups(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     }
 
     # signatures that two documents share, with equal sets taken as one
+    # (a signature holds at most one posting a document, and a document has hundreds, so none can hold more than a small
+    # part of all postings; one exchange, counted in place, costs half of a count and a join back)
+    whole = Window.partitionBy("signature")
     postings = _postings(docs.where("doc_id is not null"), rule, limits, plans)
-    shared = postings.groupBy("signature").agg(F.count("*").alias("n"), F.max("own").alias("owned")).where("n > 1 and owned").select("signature")
-    met = postings.join(shared, "signature")
+    met = postings.withColumn("n", F.count("*").over(whole)).withColumn("owned", F.max("own").over(whole)).where("n > 1 and owned").drop("n", "owned")
     plain = filled.groupBy("doc_id").agg(F.countDistinct("set_1", "set_2").alias("sets")).where("sets = 1")  # ids with one text
     twins = stored(copies.join(plain, copies["b"] == plain["doc_id"]).groupBy("doc_id").agg(F.min("a").alias("lead")))
     twins = near_side(twins, twins)
