@@ -46,6 +46,7 @@ from linewise.session import stored
 
 PIVOT_ROWS = 5_000        # partners of one pivot in one group of rows
 CALL_ROWS = 1_000         # pairs of one document in one row
+BLOCK_ROWS = 2_000        # members of one signature in one block
 
 
 @dataclass(frozen=True)
@@ -302,28 +303,64 @@ def _links_between_members(deltas: DataFrame, labels: DataFrame, rule: JoinRule)
     return pairs.where(100 * (total - differ) >= rule.percent * (total + differ)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
+def _screened(rows: list[dict], first: int, second: int, rule: JoinRule) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, one of block ``first`` and one of ``second``, that may link."""
+    ids, sizes, components, blocks = (np.array([r[name] for r in rows], np.int64) for name in ("id", "size", "component", "block"))
+    own, far = np.array([r["own"] for r in rows]), np.array([r["far"] for r in rows])
+    counts = np.array([r["counts"] for r in rows], "<i8").view("<i2").astype(np.int32)
+    right = np.flatnonzero(blocks == second)
+    lows, highs = [], []
+    for at in np.flatnonzero((blocks == first)).tolist():
+        may = right[(components[right] != components[at]) & (own[right] | own[at]) & (far[right] | far[at])]
+        if first == second:
+            may = may[may > at]
+        may = may[100 * np.minimum(sizes[may], sizes[at]) >= rule.percent * np.maximum(sizes[may], sizes[at])]
+        apart = np.abs(counts[may] - counts[at]).sum(1)
+        may = may[(100 + rule.percent) * apart <= (100 - rule.percent) * (sizes[may] + sizes[at])]
+        lows.append(np.minimum(ids[may], ids[at]))
+        highs.append(np.maximum(ids[may], ids[at]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([*lows, none]), np.concatenate([*highs, none])
+
+
 def _pairs_of_far_members(met: DataFrame, pivots: DataFrame, deltas: DataFrame, labels: DataFrame, rule: JoinRule) -> DataFrame:
-    """Pairs (pivot, other) that share a signature and can link, both not linked to its pivot, at least one far from it."""
-    words = [f"c{i}" for i in range(16)]
-    open_ = deltas.where("not linked").groupBy("pivot", "id", "own").agg(F.max("far").alias("far"), F.first("size").alias("size"), F.first("counts").alias("counts"))
-    open_ = open_.select("pivot", "id", "far", "size", *[F.get("counts", i).alias(name) for i, name in enumerate(words)])
-    members = met.select("signature", "id", "own").join(pivots.select("signature", F.col("p.id").alias("pivot")), "signature").join(open_, ["pivot", "id"])
-    members = members.join(labels, members["id"] == labels["node"], "left").select("signature", "id", "own", "far", F.coalesce("component", "id").alias("component"), "size", *words)
-    some = members.groupBy("signature").agg(F.max("far").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("signature")
-    # few bytes, but much to compare: the partitions are not to be merged
-    partitions = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = stored(members.join(some, "signature")).repartition(partitions, "signature")
+    """Pairs (pivot, other) that share a signature and can link, both not linked to its pivot, at least one far from it.
 
-    def side(letter: str) -> DataFrame:
-        return members.select("signature", *[F.col(c).alias(f"{c}_{letter}") for c in ("id", "own", "far", "component", "size", *words)])
+    The members of a signature are dealt into blocks of about BLOCK_ROWS, and a task holds two blocks at a time.
+    """
+    open_ = deltas.where("not linked").groupBy("pivot", "id", "own").agg(F.max("far").alias("far"), F.first("size").alias("size"), F.first("counts").alias("counts")).drop("own")
+    members = met.select("signature", "id", "own").join(pivots.select("signature", F.col("p.id").alias("pivot")), "signature").join(open_, ["pivot", "id"])
+    members = members.join(labels, members["id"] == labels["node"], "left").select(
+        "signature", "id", "own", "far", "size", "counts", F.coalesce("component", "id").alias("component")
+    )
+    some = members.groupBy("signature").agg(F.max("far").alias("any"), F.count("*").alias("n")).where("any and n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    members = stored(members.join(some.select("signature", blocks.alias("blocks")), "signature").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    dealt = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "signature", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"), "id", "own", "far", "size", "counts", "component", "block"
+    )
 
-    count = lambda name, at: f"(shiftright({name}, {at}) & 65535L)"
-    apart = F.expr(" + ".join(f"abs({count(f'{w}_a', at)} - {count(f'{w}_b', at)})" for w in words for at in (0, 16, 32, 48)))
-    plus, minus = 100 + rule.percent, 100 - rule.percent
-    pairs = side("a").where("far_a").join(side("b"), "signature").where(
-        (F.col("component_a") != F.col("component_b")) & (F.col("own_a") | F.col("own_b")) & (~F.col("far_b") | (F.col("id_a") < F.col("id_b")))
-        & (100 * F.least("size_a", "size_b") >= rule.percent * F.greatest("size_a", "size_b")) & (plus * apart <= minus * (F.col("size_a") + F.col("size_b")))
-    ).select(F.least("id_a", "id_b").alias("low"), F.greatest("id_a", "id_b").alias("high")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def close() -> pa.RecordBatch:
+            low, high = _screened(held, group[1], group[2], rule) if len(held) > 1 else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["low", "high"])
+
+        for batch in small_batches(batches, 1024):
+            for row in batch.to_pylist():
+                if (row["signature"], row["first"], row["second"]) != group:
+                    if group:
+                        yield close()
+                    group, held = (row["signature"], row["first"], row["second"]), []
+                held.append(row)
+        if group:
+            yield close()
+
+    # few bytes, but much to compare: a number of its own keeps the partitions from being merged
+    partitions = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["signature", "first", "second"]
+    pairs = dealt.repartition(partitions, *key).sortWithinPartitions(*key).mapInArrow(run, "low long, high long").where("low != high").distinct()
     done = deltas.select(F.least("pivot", "id").alias("low"), F.greatest("pivot", "id").alias("high")).distinct()
     return pairs.join(done, ["low", "high"], "left_anti").select(F.col("low").alias("pivot"), F.col("high").alias("other"))
 

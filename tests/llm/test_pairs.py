@@ -40,8 +40,27 @@ def test_small_corpus(docs, corpus, rule):
     compare(docs, [(i, t) for i, t, _ in corpus], rule)
 
 
-def test_clouds_of_edits(spark):
+def test_screen_keeps_pairs_that_can_link():
+    draw = np.random.default_rng(7)
+    rule, sets = ngram_join.JoinRule(5, 80), []
+    for _ in range(12):
+        base = draw.integers(0, 2**63, 60, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[k:], draw.integers(0, 2**63, k, dtype=np.uint64)])) for k in (0, 3, 5, 8, 30)]
+    rows = [
+        {"id": i, "size": len(s), "component": i, "block": i % 2, "own": True, "far": True, "counts": np.bincount((s % np.uint64(64)).astype(int), minlength=64).astype("<i2").view(np.int64)}
+        for i, s in enumerate(sets)
+    ]
+    got = set()
+    for first, second in ((0, 0), (0, 1), (1, 1)):
+        got |= set(zip(*(x.tolist() for x in ngram_join._screened(rows, first, second, rule)), strict=True))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert want and want <= got and len(got) < len(sets) ** 2 / 8
+
+
+@pytest.mark.parametrize("block", [2, 2000])
+def test_clouds_of_edits(spark, monkeypatch, block):
     """Copies at all distances around the threshold, chains of edits, and one id with two texts."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
     draw = random.Random(3)
     rows = []
     for cloud in range(6):
