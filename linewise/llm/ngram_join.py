@@ -280,17 +280,20 @@ def _links_between_members(deltas: DataFrame, labels: DataFrame, rule: JoinRule)
     often = elements.groupBy(*group, "e").agg(F.count("*").alias("n")).where("n > 1")
     # elements of one member only are the rarest and meet nobody: they use up the prefix first
     ranked = elements.join(often, [*group, "e"]).groupBy(*group, "id", "own", "prefix").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("held"))
-    light = members.select(*group, "id", "own", "component", "linked", F.size("delta").alias("whole"))
+    light = members.select(*group, "id", "own", "component", "linked", "r", F.size("delta").alias("whole"))
     ranked = ranked.join(light, [*group, "id", "own"])
     ranked = ranked.withColumn("keep", F.col("prefix") - (F.col("whole") - F.size("held"))).where("keep > 0")
-    prefixes = stored(ranked.select(*group, "id", "own", "component", "linked", F.explode(F.slice("held", F.lit(1), F.col("keep"))).alias("h")).withColumn("e", F.col("h.e")).drop("h"))
+    placed = ranked.select(*group, "id", "own", "component", "linked", "r", F.size("held").alias("many"), F.posexplode(F.slice("held", F.lit(1), F.col("keep"))).alias("at", "h"))
+    prefixes = stored(placed.withColumn("e", F.col("h.e")).withColumn("rest", F.col("many") - F.col("at")).drop("h", "at", "many"))
 
     def side(letter: str) -> DataFrame:
-        return prefixes.select(*group, "e", *[F.col(c).alias(f"{c}_{letter}") for c in ("id", "own", "component", "linked")])
+        return prefixes.select(*group, "e", *[F.col(c).alias(f"{c}_{letter}") for c in ("id", "own", "component", "linked", "r", "rest")])
 
+    # from the first element they share on, neither has more than its rest left to share
+    enough = 2 * plus * F.least("rest_a", "rest_b") >= F.col("r_a") + F.col("r_b")
     key = lambda letter: F.struct(f"id_{letter}", f"own_{letter}")
     met = side("a").where("not linked_a").join(side("b"), [*group, "e"]).where(
-        (F.col("component_a") != F.col("component_b")) & (F.col("linked_b") | (key("a") < key("b")))
+        (F.col("component_a") != F.col("component_b")) & (F.col("linked_b") | (key("a") < key("b"))) & enough
     ).select(*group, "id_a", "own_a", "id_b", "own_b").distinct()
 
     def full(letter: str) -> DataFrame:
