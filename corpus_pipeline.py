@@ -1,8 +1,9 @@
 """The corpus pipeline: documents pass the stages in order, each stored before the next.
 
 Every stage works on all that its predecessor kept and returns the columns of ``documents``; the last returns
-doc_id, source, n_tokens and ids. Documents that the toxicity model rejects go; lines found in ten documents
-go (a document may become empty, and stays); of each group of near copies the smallest doc_id stays; sources are
+doc_id, source, n_tokens and ids. Documents that the toxicity model rejects go; of lines found in ten
+documents only the first stays, so of equal documents the smallest doc_id keeps its text, less lines that stand earlier, also in
+itself (the others become empty, and stay until the mix); of each group of near copies the smallest doc_id stays; sources are
 mixed to their targets, so a document may come up to three times, the last time cut; what is left is encoded.
 """
 
@@ -19,7 +20,7 @@ from linewise.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-LINES = line_dedup.LineRule(least_chars=1, least_documents=10, keep_first=False)
+LINES = line_dedup.LineRule(least_chars=1, least_documents=10, keep_first=True)
 NEAR = ngram_join.JoinRule(words=5, percent=80)
 MIX = mixing.MixRule()
 VOCABULARY = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -191,3 +191,15 @@ def test_pipeline_stages(spark, talk, tmp_path):
     assert ids == {(r["doc_id"], tuple(encoding.encode_ordinary(r["text"] or ""))) for r in seen[4].collect()}
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "line_dedup", "ngram_jaccard", "source_mix", "byte_bpe"] and reduce(lambda a, b: a and callable(b), [f for _, f in corpus_pipeline.STAGES], True)
+
+
+def test_pipeline_keeps_one_text_of_many_equal_documents(spark, tmp_path):
+    whole = "\n".join(f"line {i} of the copied text, word {i * 7} and {i * 11}" for i in range(8))
+    rows = [(i, whole, "en", "a", len(whole)) for i in range(20, 32)]
+    rows += [(i, t := " ".join(f"n{i}x{k}" for k in range(30)), "en", "a", len(t)) for i in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    encoding = bpe.load_encoding(*VOCABULARY)
+    last = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [(r["doc_id"], encoding.decode(r["ids"])) for r in last if r["doc_id"] >= 20] == [(20, whole)]
+    assert {r["doc_id"] for r in last} == {*range(10), 20}
