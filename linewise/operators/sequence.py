@@ -13,6 +13,7 @@ from linewise.operators.joining import lookup_join, match_join
 from linewise.operators.ordering import BLOCK, consecutive_runs, number_rows, rank_in_groups
 from linewise.session import cut_lineage
 
+PRUNED_PERIODS = 10_000  # a table of the divisors of longer tolerant ranges is too much for a plan
 CODE_GROUP = ["analysis_scope", "station_id", "source_type"]
 
 
@@ -47,22 +48,22 @@ def _residue_counts(
 ) -> DataFrame:
     """Matched count, first and last order per (group, period, observed residue)."""
     spread = observed.select(*keys, order, F.explode(periods).alias("period"))
-    if tolerance == 0:
-        return spread.groupBy(*keys, "period", F.pmod(order, "period").alias("residue")).agg(
-            F.count("*").alias("matched"), F.min(order).alias("first_match"), F.max(order).alias("last_match")
-        )
-    near = F.array_distinct(
-        F.transform(F.sequence(F.lit(-tolerance), F.lit(tolerance)), lambda k: F.pmod(F.col(order) + k, F.col("period")))
+    own = spread.groupBy(*keys, "period", F.pmod(order, "period").alias("residue")).agg(
+        F.count("*").alias("matched"), F.min(order).alias("first_match"), F.max(order).alias("last_match")
     )
-    reached = spread.withColumn("residue", F.explode(near))
-    own = F.max((F.pmod(order, "period") == F.col("residue")).cast("int"))
+    if tolerance == 0:
+        return own
+    # counted residues reach their neighbours, so the tolerance multiplies residues, not orders
+    reach = F.least(F.lit(tolerance), F.floor(F.col("period") / 2))
+    near = F.array_distinct(F.transform(F.sequence(-reach, reach), lambda k: F.pmod(F.col("residue") + k, F.col("period"))))
+    reached = own.withColumn("_from", F.col("residue")).withColumn("residue", F.explode(near))
     return (
         reached.groupBy(*keys, "period", "residue")
         .agg(
-            F.count("*").alias("matched"), F.min(order).alias("first_match"),
-            F.max(order).alias("last_match"), own.alias("_own"),
+            F.sum("matched").alias("matched"), F.min("first_match").alias("first_match"),
+            F.max("last_match").alias("last_match"), F.bool_or(F.col("_from") == F.col("residue")).alias("_own"),
         )
-        .where("_own = 1").drop("_own")
+        .where("_own").drop("_own")
     )
 
 
@@ -71,9 +72,11 @@ def period_candidates(
 ) -> DataFrame:
     """(group, period, residue) with enough matches and precision.
 
-    A residue class of a composite period lies inside the class of each of its prime
-    factors, so a group whose share is too small for a prime cannot pass any multiple
-    of it. Primes are counted first and composites only for the groups left over.
+    A residue class of a period, tolerance included, lies inside the class of each of its
+    divisors, so a group whose share is too small for a divisor cannot pass any multiple
+    of it. Primes are counted first and composites only for the groups left over. With a
+    tolerance, classes of small divisors hold nearly all orders and rule out nothing, so
+    every period up to three times the width of a class is counted first too.
     """
     low, high, tolerance = config.minimum_period, config.maximum_period, config.period_order_tolerance
     orders = observed.where(F.col(order).isNotNull()).select(*keys, F.col(order).cast("bigint").alias(order)).distinct()
@@ -87,31 +90,32 @@ def period_candidates(
         frequent = counts.where(F.col("matched") >= config.minimum_repeat_occurrences)
         return match_join(frequent, sizes, keys).where(F.col("matched") / F.col("occurrences") >= config.minimum_period_precision)
 
-    primes = _primes(high)
-    if tolerance > 0 or not primes:
+    tested = [] if tolerance > 0 and high > PRUNED_PERIODS else sorted({*_primes(high), *range(4, min(high, 3 * (2 * tolerance + 1)) + 1)})
+    if not tested:
         periods = F.sequence(F.lit(low), F.lit(high))
         return passing(_residue_counts(orders, keys, order, periods, tolerance))
     # few rows survive; stored once because the next steps read them again
-    first = cut_lineage(passing(_residue_counts(orders, keys, order, F.array(*map(F.lit, primes)), 0)))
+    first = cut_lineage(passing(_residue_counts(orders, keys, order, F.array(*map(F.lit, tested)), tolerance)))
     kept = first.where(F.col("period") >= low)
     if low == 1:
-        kept = kept.unionByName(passing(_residue_counts(orders, keys, order, F.array(F.lit(1)), 0)))
-    composites = [n for n in range(max(low, 4), high + 1) if n not in primes]
+        kept = kept.unionByName(passing(_residue_counts(orders, keys, order, F.array(F.lit(1)), tolerance)))
+    held = set(tested)
+    composites = [n for n in range(max(low, 4), high + 1) if n not in held]
     if not composites:
         return kept
     factor_rows = F.array(*[
-        F.struct(F.lit(n).alias("period"), F.array(*[F.lit(p) for p in primes if n % p == 0]).alias("factors"))
+        F.struct(F.lit(n).alias("period"), F.array(*[F.lit(p) for p in tested if n % p == 0]).alias("factors"))
         for n in composites
     ])
-    open_periods = first.groupBy(*keys).agg(F.collect_set("period").alias("_primes")).select(
+    open_periods = first.groupBy(*keys).agg(F.collect_set("period").alias("_passed")).select(
         *keys,
         F.transform(
-            F.filter(factor_rows, lambda item: F.size(F.array_except(item["factors"], "_primes")) == 0),
+            F.filter(factor_rows, lambda item: F.size(F.array_except(item["factors"], "_passed")) == 0),
             lambda item: item["period"],
         ).alias("_open"),
     ).where(F.size("_open") > 0)
     rest = lookup_join(orders, open_periods, keys)
-    return kept.unionByName(passing(_residue_counts(rest, keys, order, F.col("_open"), 0)))
+    return kept.unionByName(passing(_residue_counts(rest, keys, order, F.col("_open"), tolerance)))
 
 
 def _on_line(

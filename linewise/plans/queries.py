@@ -446,7 +446,7 @@ def period_of_carrier_places(spark, folder):
 @query
 def period_of_carrier_places_tolerant(spark, folder):
     observed, slots = _carrier(spark, folder)
-    config = AnalysisConfig(period_order_tolerance=1, maximum_period=20, minimum_period_coverage=0.3)
+    config = AnalysisConfig(period_order_tolerance=1, minimum_period_coverage=0.3)
     return sequence.fit_period(observed, ["place"], "position", config, slots, [])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linewise.config import AnalysisConfig
 from linewise.operators import ordering, process, sequence
+from linewise.plans.queries import QUERIES
 
 CONFIG = AnalysisConfig()
 
@@ -62,6 +63,53 @@ def test_period_equals_brute_force(spark, tolerance):
     assert len(got) > 5
 
 
+def brute_candidates(orders, config):
+    """(period, residue, matched) of every class that passes, counted one by one."""
+    values, tolerance = sorted(set(orders)), config.period_order_tolerance
+    for period in range(config.minimum_period, config.maximum_period + 1):
+        for residue in sorted({v % period for v in values}):
+            hits = sum(min((v - residue) % period, (residue - v) % period) <= tolerance for v in values)
+            if hits >= config.minimum_repeat_occurrences and hits / len(values) >= config.minimum_period_precision:
+                yield period, residue, hits
+
+
+@pytest.mark.parametrize("tolerance,low,limit", [(0, 2, 10_000), (1, 1, 10_000), (2, 30, 10_000), (9, 2, 10_000), (1, 2, 100)])
+def test_pruned_periods_equal_all_periods(spark, monkeypatch, tolerance, low, limit):
+    monkeypatch.setattr(sequence, "PRUNED_PERIODS", limit)
+    rng = random.Random(tolerance)
+    config = AnalysisConfig(minimum_period=low, period_order_tolerance=tolerance)
+    groups = {f"noise{i}": rng.sample(range(900), 25) for i in range(4)}
+    for period in (8, 27, 36, 97, 128, 144, 180):
+        groups[f"p{period}"] = [v + rng.randint(-tolerance, tolerance) for v in range(20, 2000, period)] + rng.sample(range(2000), 1)
+    rows = sequence.period_candidates(frame(spark, groups), ["k"], "o", config).collect()
+    got = sorted((r["k"], r["period"], r["residue"], r["matched"]) for r in rows)
+    assert got == sorted((k, *found) for k, orders in groups.items() for found in brute_candidates(orders, config))
+
+
+def test_tolerant_periods_are_pruned(spark, monkeypatch):
+    """Each order meets the periods tested first and then only those that can still pass, not all 199."""
+    counted, count = [], sequence._residue_counts
+
+    def seen(observed, keys, order, periods, tolerance):
+        counted.append(observed.select(F.explode(periods)).count() / 40)
+        return count(observed, keys, order, periods, tolerance)
+
+    monkeypatch.setattr(sequence, "_residue_counts", seen)
+    orders = list(range(5, 5 + 40 * 36, 36))
+    rows = sequence.period_candidates(frame(spark, {"a": orders}), ["k"], "o", AnalysisConfig(period_order_tolerance=1)).collect()
+    assert 36 in {r["period"] for r in rows} and sum(counted) < 70
+
+
+def test_tolerant_query_searches_the_default_range(spark, tmp_path):
+    items = [(o, n, "R" if o % 6 == 0 else "A") for o in range(1, 200) for n in (1, 2)]
+    spark.createDataFrame(items, "l_orderkey bigint, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["place"]: (r["period"], r["phase_start"]) for r in QUERIES["period_of_carrier_places_tolerant"](spark, str(tmp_path)).collect()}
+    config = AnalysisConfig(period_order_tolerance=1, minimum_period_coverage=0.3)
+    eligible = {o * 7 + n for o, n, _ in items}
+    assert got == {n: brute_period([o * 7 + n for o, m, f in items if f == "R" and m == n], config, eligible) for n in (1, 2)}
+    assert {period for period, _ in got.values()} == {42}
+
+
 def test_runs_and_neighbours_across_blocks(spark):
     rng = random.Random(3)
     groups = {k: sorted({v for v in range(-40, 200) if rng.random() < share}) for k, share in (("a", 0.3), ("b", 0.9), ("c", 1.0))}
