@@ -1,4 +1,6 @@
-"""Exact dedup by an extendible-hash index on shared files, with DataFrame functions only.
+"""Exact dedup by grouping by key and bytes, with DataFrame functions only; rows carry the bucket of an extendible-hash directory.
+
+The grouping does the work: the bucket is a label and no join, lookup or partition key.
 
 1. Entries (document, key, length) are stored once; the key is a 64-bit hash of the
    normalised text.
