@@ -1,15 +1,17 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of reference blocks.
+"""Substring dedup by winnowing: phrases with one anchor are compared as whole blocks, then window by window.
+
+This is not a relative Lempel-Ziv parse: phrases are cut before any reference is read, and no longest match is extended.
 
 A window is ``window`` consecutive words. The anchor of a window is its least-hashed ``gram``-word
 run, so equal windows have equal anchors at equal offsets, and the windows of a document fall into
-consecutive runs with one anchor each: the phrases of the parse. A phrase and the words under its
+consecutive runs with one anchor each: the phrases. A phrase and the words under its
 windows are one reference block; every block of the corpus is indexed by its anchor.
 
 1. Anchors that occur once are dropped: no window of theirs occurs twice.
-2. A phrase that equals a block elsewhere as a whole is one factor, and all its windows are
-   duplicates: long copies are covered by such factors, one row each.
-3. Where blocks of one anchor differ, factors end inside them. There, and only there, the single
-   windows of one representative a block are looked up against every other block of the anchor.
+2. A phrase that equals a block elsewhere as a whole has only duplicate windows:
+   long copies are covered by such phrases, one row each.
+3. Where blocks of one anchor differ, and only there, all single windows of one
+   representative a block are looked up against every other block of the anchor.
 
 So every window whose word sequence also starts elsewhere is found, and no other. Counts are
 aggregated before they are shuffled; a passage in a third of all documents costs one row a task
