@@ -107,7 +107,11 @@ def passages(text: str | None, model: ToxicModel) -> tuple[int, list[tuple[int,
 
 def features(text: str | None, model: ToxicModel) -> tuple[float, float]:
     """Normalised score of the best passage, and the sum over significant passages."""
-    count, found = passages(text, model)
+    return features_of(*passages(text, model), model)
+
+
+def features_of(count: int, found: list[tuple[int, int, float]], model: ToxicModel) -> tuple[float, float]:
+    """``features`` from the passages of a text."""
     if not found:
         return -10.0, 0.0
     bits = model.decay * np.array([score for _, _, score in found]) - np.log(max(model.scale * count, 1e-9))
@@ -243,8 +247,8 @@ def score_documents(docs: DataFrame, model: ToxicModel) -> DataFrame:
         for batch in small_batches(batches):
             scores, spans = [], []
             for text in batch.column("text").to_pylist():
-                scores.append(probability(features(text, model), model))
-                count, found = passages(text, model) if scores[-1] >= 0.1 else (0, [])
+                count, found = passages(text, model)
+                scores.append(probability(features_of(count, found, model), model))
                 spans.append([
                     {"start": a, "end": b, "score": s} for a, b, s in found
                     if model.decay * s - np.log(max(model.scale * count, 1e-9)) >= least

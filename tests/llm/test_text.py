@@ -109,6 +109,14 @@ def test_toxicity_on_held_out_rows(talk):
             assert {"rotten", "dreadful", "nasty", "vile"} & set(toxicity.tokens(texts[r["doc_id"]])[p["start"]:p["end"]])
 
 
+def test_toxicity_passages_of_low_scored_documents(spark):
+    model = toxicity.ToxicModel({"vile": 5.0}, -0.5, 1.0, 0.1, (-9.0, 0.1, 0.1), 0.05)
+    docs = spark.createDataFrame([(1, "a vile vile vile b"), (2, "a b")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in toxicity.score_documents(docs, model).collect()}
+    assert rows[1]["score"] < 0.1 and [(p["start"], p["end"], p["score"]) for p in rows[1]["passages"]] == [(1, 4, 15.0)]
+    assert rows[2]["passages"] == []
+
+
 def test_toxicity_without_labels_or_rows(talk, nothing):
     docs, labels = talk
     model = toxicity.fit(docs, labels.where("toxic = 0"))
