@@ -16,7 +16,7 @@ members a, b of a pivot differ by |da| + |db| - 2 |da & db|; two members linked
 already, and any other pair can link only with an overlap of differences that grows with their
 sizes. So those pairs are found by a prefix filter on the differences, rarest elements first, and
 verified exactly from them: a group of near copies, linked or just short of it, costs about as many
-checks as members, not pairs. A member less than half like its pivot met it by chance; it cannot link
+checks as members, not pairs. A member less than half like its pivot, and more than two links away from it, met it by chance; it cannot link
 with a member that is linked to the pivot (Jaccard distance is a metric), and is checked against the
 others that meet it, where sizes and the distance of 64 shingle counts, a lower bound of the sets'
 distance, leave a link possible. No partner that can link is dropped.
@@ -192,7 +192,7 @@ def _parted(pairs: DataFrame, key: str, other: str, rows: int) -> DataFrame:
 def _differences(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame:
     """pivot, base, id, own, size, delta, linked, far, counts for pairs (pivot, other): each set minus the other.
 
-    far pairs (less than half alike) have no delta; members that are not linked have 64 shingle counts, four to a number.
+    far pairs (less than half alike, and at a distance above twice that of a link) have no delta; members that are not linked have 64 shingle counts, four to a number.
 
     base and own name the two sets, for ids with several texts. Each set travels once per pair; a pivot with
     many partners is split.
@@ -207,6 +207,7 @@ def _differences(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame
     asked = docs.join(near_side(wanted, salted), docs["doc_id"] == wanted["id"]).select("id", "text", "calls")
 
     kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+    apart = max(50, 2 * (100 - rule.percent))  # least Jaccard distance of far sets: none can link with a set linked to the pivot
 
     def made(out: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["pivot", "part", "follows", "id", "data"])
@@ -245,7 +246,7 @@ def _differences(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame
                     delta = np.setxor1d(lead, hashes, assume_unique=True)
                     common = (len(lead) + len(hashes) - len(delta)) // 2
                     linked = 100 * common >= rule.percent * (len(lead) + len(hashes) - common)
-                    far = not linked and 3 * common < len(lead) + len(hashes)
+                    far = not linked and 100 * len(delta) > apart * (len(lead) + len(hashes) - common)
                     counts = none if linked else np.minimum(np.bincount((hashes % np.uint64(64)).astype(np.int64), minlength=64), 32_767).astype("<i2").view(np.int64)
                     out.append((pivot, base, id_, name(data), len(hashes), none if far else delta.view(np.int64), linked, far, counts))
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)

@@ -152,3 +152,13 @@ def test_substring_dedup_of_shifted_and_edited_passages(spark):
 
 def test_substring_dedup_of_nothing(nothing):
     assert cut(nothing, substring_dedup.SpanRule(35)) == []
+
+
+@pytest.mark.parametrize("percent,far", [(60, False), (80, True)])
+def test_far_members_are_two_links_from_the_pivot(spark, percent, far):
+    """45 of 100 words are common: at 60 the member can link with one that is linked to the pivot."""
+    texts = [(1, " ".join(f"w{i}" for i in range(72))), (2, " ".join(f"w{i}" for i in range(27, 100)))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 2)], "pivot long, other long")
+    row = ngram_join._differences(docs, pairs, ngram_join.JoinRule(words=1, percent=percent)).first()
+    assert (row["linked"], row["far"], len(row["delta"])) == (False, far, 0 if far else 55)
