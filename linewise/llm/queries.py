@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewise.llm import bpe, chat, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, pii, substring_dedup, toxicity
+from linewise.llm import bpe, chat, exact_dedup, fingerprints, line_dedup, merkle, mixing, ngram_join, pii, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,3 +108,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.dedup_exact(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    return merkle.verified_manifest(docs, merkle.tampered_text(F.col("doc_id"), F.col("text")))
