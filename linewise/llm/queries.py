@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewise.llm import bpe, chat, exact_dedup, fingerprints, line_dedup, merkle, mixing, ngram_join, pii, substring_dedup, toxicity
+from linewise.llm import (
+    bpe, chat, cover_tree, exact_dedup, fingerprints, line_dedup, merkle, mixing, ngram_join, pii, substring_dedup, toxicity, turn_repair,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,3 +116,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
     return merkle.verified_manifest(docs, merkle.tampered_text(F.col("doc_id"), F.col("text")))
+
+
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_audits(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op13_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_links(table(spark, sf_dir, "embeddings"), 0.95)
