@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linewise.session import cut_lineage
@@ -33,14 +33,14 @@ def lookup_join(
 ) -> DataFrame:
     """``match_join`` for a derived side that is usually tiny.
 
-    The small side is stored and its cells (columns of every row, and every array
-    element) are counted first: up to ``limit`` cells it is broadcast, so the big side
+    The small side is stored, and its cells (columns of every row, and every array element)
+    are counted while it is written: up to ``limit`` cells it is broadcast, so the big side
     keeps its partitions and is not shuffled; above that the join is an ordinary
-    shuffle join.
+    shuffle join. A stage that is run again may count rows twice, which only turns a broadcast into a shuffle.
     """
-    stored = cut_lineage(small)
-    arrays = [name for name, kind in stored.dtypes if kind.startswith(("array", "map"))]
-    cells = reduce(lambda a, b: a + b, [F.greatest(F.lit(0), F.coalesce(F.size(name), F.lit(0))) for name in arrays], F.lit(len(stored.columns)))
-    counted = stored.limit(limit + 1).agg(F.sum(cells.cast("long"))).first()[0]
-    fits = (counted or 0) <= limit
+    arrays = [name for name, kind in small.dtypes if kind.startswith(("array", "map"))]
+    cells = reduce(lambda a, b: a + b, [F.greatest(F.lit(0), F.coalesce(F.size(name), F.lit(0))) for name in arrays], F.lit(len(small.columns)))
+    written = Observation()
+    stored = cut_lineage(small.observe(written, F.sum(cells.cast("long")).alias("cells")))
+    fits = (written.get["cells"] or 0) <= limit
     return match_join(big, F.broadcast(stored) if fits else stored, keys, how)

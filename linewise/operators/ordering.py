@@ -120,6 +120,17 @@ def nearest_non_null(
     )
 
 
+def carried_forward(df: DataFrame, keys: Sequence[str], sort: Sequence[str | Column], columns: Sequence[str]) -> DataFrame:
+    """Each of ``columns`` replaced by its last non-null value at or before the row in its group."""
+    laid = range_layout(df, keys, sort)
+    up = Window.partitionBy(*keys, PART).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+    ends = laid.groupBy(*keys, PART).agg(*[F.max_by(F.col(name), F.when(F.col(name).isNotNull(), F.col(POS))).alias(f"_end_{name}") for name in columns])
+    earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, PART, *[F.last(f"_end_{name}", ignorenulls=True).over(earlier).alias(f"_carry_{name}") for name in columns])
+    joined = lookup_join(laid.withColumns({f"_here_{name}": F.last(name, ignorenulls=True).over(up) for name in columns}), carried, [*keys, PART])
+    return joined.select(*[F.coalesce(f"_here_{name}", f"_carry_{name}").alias(name) if name in columns else name for name in df.columns])
+
+
 def consecutive_runs(
     observed: DataFrame, keys: Sequence[str], order: str, block: int = BLOCK
 ) -> DataFrame:

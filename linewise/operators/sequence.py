@@ -43,6 +43,14 @@ def _primes(limit: int) -> list[int]:
     return [n for n in range(2, limit + 1) if all(n % d for d in range(2, int(n**0.5) + 1))]
 
 
+def tested_periods(config: AnalysisConfig) -> list[int]:
+    """Periods to count before their multiples: primes, and with a tolerance all up to three times the width of a class."""
+    high, tolerance = config.maximum_period, config.period_order_tolerance
+    if tolerance > 0 and high > PRUNED_PERIODS:
+        return []
+    return sorted({*_primes(high), *range(4, min(high, 3 * (2 * tolerance + 1)) + 1)})
+
+
 def _residue_counts(
     observed: DataFrame, keys: Sequence[str], order: str, periods: Column, tolerance: int
 ) -> DataFrame:
@@ -90,7 +98,7 @@ def period_candidates(
         frequent = counts.where(F.col("matched") >= config.minimum_repeat_occurrences)
         return match_join(frequent, sizes, keys).where(F.col("matched") / F.col("occurrences") >= config.minimum_period_precision)
 
-    tested = [] if tolerance > 0 and high > PRUNED_PERIODS else sorted({*_primes(high), *range(4, min(high, 3 * (2 * tolerance + 1)) + 1)})
+    tested = tested_periods(config)
     if not tested:
         periods = F.sequence(F.lit(low), F.lit(high))
         return passing(_residue_counts(orders, keys, order, periods, tolerance))
