@@ -32,7 +32,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.drop_repeated_lines(docs, LINES)
+    aside = {name: f"__own_{name}" for name in line_dedup.COUNTERS if name in docs.columns}
+    kept = line_dedup.drop_repeated_lines(docs.withColumnsRenamed(aside), LINES).drop(*line_dedup.COUNTERS)
+    kept = kept.withColumnsRenamed({own: name for name, own in aside.items()})
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

@@ -27,6 +27,7 @@ from linewise.session import stored
 
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+COUNTERS = ("n_lines", "n_dropped")
 KEY = ["h1", "h2"]
 LEAST_HOT = 10_000
 
@@ -114,7 +115,7 @@ def line_bitmaps(docs: DataFrame, rule: LineRule = LineRule(), least_hot: int =
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with the kept lines as text, and n_lines and n_dropped (overwriting columns of these names)."""
-    others = [name for name in docs.columns if name not in ("text", "n_lines", "n_dropped")]
+    others = [name for name in docs.columns if name not in ("text", *COUNTERS)]
     split = docs.select(*others, F.xxhash64("text").alias("__digest"), _lines(F.col("text")).alias("__lines"))
     marks = bitmaps.select(
         F.col("doc_id").alias("__id"), F.col("digest").alias("__mark"), F.col("n_dropped").alias("__dropped"), F.col("keep_flips").alias("__flips")

@@ -211,3 +211,53 @@ def test_pipeline_keeps_one_text_of_many_equal_documents(spark, tmp_path):
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert [(r["doc_id"], encoding.decode(r["ids"])) for r in last if r["doc_id"] >= 20] == [(20, whole)]
     assert {r["doc_id"] for r in last} == {*range(10), 20}
+
+
+def plain_pipeline_lines(rows):
+    """Documents after the line stage: of lines in ten documents only the first stays (documents by id)."""
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").lower()
+    holders = {}
+    for i, text in rows:
+        for line in {key(x) for x in (text or "").split("\n")}:
+            holders.setdefault(line, set()).add(i)
+    out, seen = {}, set()
+    for i, text in rows:
+        kept = []
+        for line in (text or "").split("\n"):
+            common = key(line) and len(holders[key(line)]) >= 10
+            if not common or key(line) not in seen:
+                kept.append(line)
+            seen.add(key(line))
+        out[i] = "\n".join(kept)
+    return out
+
+
+def test_pipeline_whole_run_with_clashing_columns(spark, tmp_path):
+    """Own columns named as counters keep their values, a long text and nulls pass, and each stage equals a plain version."""
+    draw = random.Random(4)
+    shared = ["a shared header line here", "and another shared footer"]
+    rows = [(i, "\n".join([shared[0], " ".join(f"u{draw.randrange(10**6)}" for _ in range(60)), shared[1]])) for i in range(12)]
+    rows += [(20, None), (21, ""), (22, " ".join(f"long{k}" for k in range(60_000)))]
+    base = [f"near{k}" for k in range(400)]
+    rows += [(30, " ".join(base)), (31, " ".join(base[:200] + ["other"] + base[201:])), (32, " ".join(base))]
+    table = [(i, t, "en", "s", None if t is None else len(t), 7, 8, "x", 1) for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, n_dropped int, digest string, __take int"
+    spark.createDataFrame(table, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").drop("__take")
+    lines = corpus_pipeline.drop_common_lines(spark, docs, str(tmp_path))
+    assert lines.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == plain_pipeline_lines(rows)
+    assert {(r["n_lines"], r["n_dropped"], r["digest"]) for r in lines.collect()} == {(7, 8, "x")}
+    near = corpus_pipeline.drop_near_copies(spark, lines, str(tmp_path))
+    assert {r["doc_id"] for r in near.collect()} == {i for i, _ in rows} - {31, 32} and near.columns == docs.columns
+    encoding = bpe.load_encoding(*VOCABULARY)
+    want = {(i, t) for i, t in plain_pipeline_lines(rows).items() if i not in (31, 32) and re.search(r"\S", t)}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], encoding.decode(r["ids"])) for r in got} == want and len(got) == len(want)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
