@@ -779,7 +779,26 @@ def spatial_trajectories(spark, folder):
 @query
 def alert_replay(spark, folder):
     products, assigned, _ = _assigned(spark, folder)
-    return replay.replay_batch(products, assigned, CONFIG)[0]
+    return rounded(replay.replay_batch(products, assigned, CONFIG)[0], "confidence")
+
+
+@query
+def carrier_alerts(spark, folder):
+    """All five kinds: places of a carrier recur with its length, suppliers repeat and run together."""
+    return rounded(replay.replay_batch(*star.carrier_lines(spark, folder), CONFIG)[0], "confidence")
+
+
+@query
+def carrier_active_periods(spark, folder):
+    return replay.replay_batch(*star.carrier_lines(spark, folder), CONFIG)[1]
+
+
+@query
+def carrier_patterns(spark, folder):
+    """Periodic, burst and fixed places of the carrier lines, with the next expected order."""
+    products, seen = star.carrier_lines(spark, folder)
+    _, active = replay.replay_batch(products, seen, CONFIG)
+    return rounded(replay.spatial_patterns(products, seen, active, CONFIG), "precision", "coverage", "confidence")
 
 
 @query
@@ -809,7 +828,7 @@ def spatial_patterns(spark, folder):
     products, assigned, _ = _assigned(spark, folder)
     assigned = cut_lineage(assigned)
     _, active = replay.replay_batch(products, assigned, CONFIG)
-    return replay.spatial_patterns(products, assigned, active, CONFIG)
+    return rounded(replay.spatial_patterns(products, assigned, active, CONFIG), "precision", "coverage", "confidence")
 
 
 @query
@@ -900,7 +919,8 @@ def cluster_timeline(spark, folder):
 @query
 def alert_chart(spark, folder):
     products, assigned, _ = _assigned(spark, folder)
-    return views.alert_timeline(replay.replay_batch(products, assigned, CONFIG)[0])
+    both = [replay.replay_batch(*rows, CONFIG)[0] for rows in ((products, assigned), star.carrier_lines(spark, folder))]
+    return views.alert_timeline(both[0].unionByName(both[1]))
 
 
 @query

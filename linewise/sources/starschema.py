@@ -180,6 +180,19 @@ def carrier_slots(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def carrier_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(products, clustered detections) of three carrier lines: places with a defect flag come round every 21 positions, suppliers do not."""
+    rows = table(spark, folder, "lineitem").select(
+        F.lit("5S").alias("analysis_scope"), F.concat(F.lit("K"), F.col("l_orderkey") % 3).alias("station_id"),
+        (F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("production_order"), "l_linenumber", "l_returnflag", "l_suppkey",
+    )
+    place = F.concat(F.lit("P"), F.col("l_linenumber").cast("string"))
+    supplier = F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string"))
+    key = ["analysis_scope", "station_id", "production_order"]
+    seen = rows.where("l_returnflag <> 'A'").select(*key, place.alias("cluster_id")).unionByName(rows.select(*key, supplier.alias("cluster_id")))
+    return rows.select(*key), seen
+
+
 def image_files(spark: SparkSession, folder: str) -> DataFrame:
     """Image paths per station: right and wrong families, unknown views, other suffixes."""
     families = {profile: family for profile, family, _views, _pair in IMAGE_PROFILES}

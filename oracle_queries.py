@@ -234,6 +234,76 @@ CTES["cell_pattern_rows"] = """SELECT analysis_scope, station_id, cluster_id,
         CASE WHEN p IS NOT NULL THEN confidence WHEN run_length >= 4 THEN 1.0 END AS confidence
     FROM xf_size z JOIN cell_run USING (analysis_scope, station_id, cluster_id) LEFT JOIN xf_best b USING (analysis_scope, station_id, cluster_id) WHERE z.n >= 4"""
 CTES["leader_pattern_rows"] = CTES["cell_pattern_rows"].replace("xf_", "lf_").replace("cell_run", "leader_run")
+def _replay(prefix: str, obs: str, elig: str, high: int = 200) -> dict[str, str]:
+    """CTEs <prefix>_alerts and <prefix>_active: every alert of the clusters of ``obs`` on the lines of ``elig``, at default settings."""
+    c, line = ", ".join(_CELL), ", ".join(_CELL[:2])
+    on = lambda a, b, keys=_CELL: " AND ".join(f"{a}.{key} = {b}.{key}" for key in keys)
+    none = "NULL::BIGINT"
+    return {
+        f"{prefix}_line": f"SELECT *, lead(o) OVER (PARTITION BY {line} ORDER BY o) AS later, max(o) OVER (PARTITION BY {line}) AS line_end FROM {elig}",
+        f"{prefix}_num": f"SELECT {c}, o, row_number() OVER (PARTITION BY {c} ORDER BY o) AS n, count(*) OVER (PARTITION BY {c}) AS total, min(o) OVER (PARTITION BY {c}) AS lo FROM {obs}",
+        f"{prefix}_most": f"SELECT {c}, p, o % p AS r, count(*) AS most FROM {prefix}_num CROSS JOIN range(2, {high} + 1) t(p) WHERE total >= 4 GROUP BY ALL HAVING count(*) >= 4",
+        f"{prefix}_touch": f"""SELECT {c}, o, n, total, p, r, row_number() OVER w AS m, min(o) OVER (PARTITION BY {c}, p, r) AS f, lead(n) OVER w AS nx
+            FROM {prefix}_num z JOIN {prefix}_most USING ({c}) WHERE z.o % p = r AND n * 0.75 <= most WINDOW w AS (PARTITION BY {c}, p, r ORDER BY o)""",
+        f"{prefix}_good": f"SELECT * FROM {prefix}_touch WHERE m >= 4 AND m / n >= 0.75",
+        f"{prefix}_rank": f"""SELECT {line}, o, p, row_number() OVER (PARTITION BY {line}, p, o % p ORDER BY o) AS e
+            FROM {elig} JOIN (SELECT DISTINCT {line}, p FROM {prefix}_good) USING ({line})""",
+        f"{prefix}_opened": f"SELECT g.*, e - 1 AS earlier FROM {prefix}_good g JOIN {prefix}_rank a ON {on('a', 'g', _CELL[:2])} AND a.p = g.p AND a.o = g.f",
+        f"{prefix}_cover": f"SELECT g.*, least(1.0::DOUBLE, m / (e - earlier)) AS coverage FROM {prefix}_opened g JOIN {prefix}_rank b ON {on('b', 'g', _CELL[:2])} AND b.p = g.p AND b.o = g.o",
+        f"{prefix}_valid": f"""SELECT *, m / k AS precision, 2.0::DOUBLE * (m / k) * coverage / ((m / k) + coverage) AS confidence
+            FROM (SELECT *, unnest(range(n, least(coalesce(nx - 1, total), CAST(floor(m / 0.75) AS BIGINT) + 1) + 1)) AS k FROM {prefix}_cover WHERE coverage >= 0.65) WHERE m / k >= 0.75""",
+        f"{prefix}_fits": f"""SELECT {c}, z.o, v.k, p, f, confidence FROM {prefix}_valid v JOIN {prefix}_num z USING ({c}) WHERE z.n = v.k
+            QUALIFY row_number() OVER (PARTITION BY {c}, v.k ORDER BY confidence DESC, coverage DESC, precision DESC, p, r) = 1""",
+        f"{prefix}_first": f"SELECT *, f + ((o - f) // p + 1) * p AS following FROM {prefix}_fits QUALIFY row_number() OVER (PARTITION BY {c} ORDER BY k) = 1",
+        f"{prefix}_bursts": f"""SELECT {c}, min(s) AS s FROM (SELECT {c}, min(o) AS s FROM (SELECT {c}, o, o - n AS g FROM {prefix}_num) GROUP BY {c}, g HAVING count(*) >= 4) GROUP BY {c}""",
+        f"{prefix}_slots": f"""SELECT a.{', a.'.join(_CELL)}, a.o AS confirmed, a.p, e.o AS slot, s.o IS NOT NULL AS seen, CASE WHEN s.o IS NULL THEN e.later END AS reported
+                FROM {prefix}_first a JOIN {prefix}_line e ON {on('e', 'a', _CELL[:2])} AND e.o >= a.following AND (e.o - a.following) % a.p = 0
+                LEFT JOIN {obs} s ON {on('s', 'a')} AND s.o = e.o
+            UNION ALL SELECT DISTINCT a.{', a.'.join(_CELL)}, a.o, a.p, greatest(a.following, a.following + CAST(ceil((e.line_end + 1 - a.following) / a.p) AS BIGINT) * a.p), false, {none}
+                FROM {prefix}_first a JOIN {prefix}_line e ON {on('e', 'a', _CELL[:2])}""",
+        f"{prefix}_settled": f"""SELECT *, lag(settled) OVER w AS waited, lag(slot) OVER w AS prior FROM (
+            SELECT *, CASE WHEN seen THEN slot ELSE reported END AS settled,
+                CASE WHEN seen THEN slot + p ELSE slot + CAST(ceil((reported - slot) / p) AS BIGINT) * p END AS onward FROM {prefix}_slots)
+            WINDOW w AS (PARTITION BY {c} ORDER BY slot)""",
+        f"{prefix}_due": f"""SELECT {c}, confirmed, reported AS due, 'expected_occurrence_missing' AS alert_type, slot AS predicted FROM {prefix}_settled WHERE reported IS NOT NULL
+            UNION ALL SELECT {c}, confirmed, t.slot - 3, 'upcoming_periodic_defect', slot FROM {prefix}_settled t WHERE slot - 3 > confirmed AND (prior IS NULL OR waited < slot - 3)
+                AND EXISTS (SELECT 1 FROM {elig} e WHERE {on('e', 't', _CELL[:2])} AND e.o = t.slot - 3)
+            UNION ALL SELECT {c}, confirmed, settled, 'upcoming_periodic_defect', onward FROM {prefix}_settled WHERE onward - 3 = settled""",
+        f"{prefix}_known": f"""SELECT d.*, f.confidence, l.o AS last_seen, l.lo FROM {prefix}_due d ASOF JOIN {prefix}_fits f ON {on('d', 'f')} AND d.due > f.o
+            ASOF JOIN {prefix}_num l ON {on('d', 'l')} AND d.due >= l.o""",
+        f"{prefix}_raised": f"""
+            SELECT {c}, due, alert_type, confidence, predicted, 'all' AS kind, lo AS a, last_seen AS b, {none} AS period, {none} AS phase, confirmed, CASE alert_type WHEN 'expected_occurrence_missing' THEN 1 ELSE 2 END AS place
+                FROM {prefix}_known
+            UNION ALL SELECT {c}, s + 3, 'burst_detected', 1.0, NULL, 'run', s, s + 3, NULL, NULL, NULL, 3 FROM {prefix}_bursts
+            UNION ALL SELECT {c}, o, 'periodic_pattern_confirmed', confidence, following, 'matched', f, o, p, f, NULL, 4 FROM {prefix}_first
+            UNION ALL SELECT {c}, min(z.o), 'fixed_position_repeat_confirmed', 0.5, NULL, 'all', min(lo), min(z.o), NULL, NULL, NULL, 5 FROM {prefix}_num z LEFT JOIN {prefix}_bursts USING ({c})
+                WHERE z.n >= 4 AND (s IS NULL OR z.o < s + 3) AND NOT EXISTS (SELECT 1 FROM {prefix}_fits f WHERE {on('f', 'z')} AND f.k = z.n) GROUP BY {c}""",
+        f"{prefix}_born": f"SELECT {c}, row_number() OVER (PARTITION BY {line} ORDER BY lo, length(cluster_id), cluster_id) AS no FROM (SELECT DISTINCT {c}, lo FROM {prefix}_num)",
+        f"{prefix}_alerts": f"""SELECT regexp_replace(station_id, '[^A-Za-z0-9_-]+', '-', 'g') || '-A' || printf('%04d', row_number() OVER (PARTITION BY {line}
+                ORDER BY due, place > 2, confirmed NULLS FIRST, no, place)) AS alert_id, {c}, due AS alert_at_order, alert_type,
+            CASE alert_type WHEN 'burst_detected' THEN 'critical' WHEN 'fixed_position_repeat_confirmed' THEN 'notice' ELSE 'warning' END AS severity,
+            round(confidence, 6) AS confidence, predicted AS predicted_order, kind AS evidence_kind, a AS evidence_from, b AS evidence_to, period, phase
+            FROM {prefix}_raised JOIN {prefix}_born USING ({c})""",
+        f"{prefix}_active": f"SELECT {c}, any_value(confirmed) AS confirmed_at_order, min(slot) FILTER (settled IS NULL) AS next_expected_order FROM {prefix}_settled GROUP BY {c}",
+    }
+
+
+CTES["track_places"] = "SELECT '5S' AS analysis_scope, 'K' || l_orderkey % 3 AS station_id, l_orderkey * 7 + l_linenumber AS o, l_linenumber AS place, l_returnflag AS flag, l_suppkey AS supplier FROM lineitem"
+CTES["track_obs"] = """SELECT DISTINCT analysis_scope, station_id, 'P' || place AS cluster_id, o FROM track_places WHERE flag <> 'A'
+    UNION SELECT analysis_scope, station_id, 'S' || supplier % 5, o FROM track_places"""
+CTES["track_elig"] = "SELECT DISTINCT analysis_scope, station_id, o FROM track_places"
+CTES |= _replay("tr", "track_obs", "track_elig") | _replay("lr", "leader_obs", "cell_elig")
+CTES |= _fit("kf", "track_obs", _CELL, "track_elig", _CELL[:2]) | _runs("track_run", "track_obs", _CELL)
+CTES["track_pattern_rows"] = CTES["cell_pattern_rows"].replace("xf_", "kf_").replace("cell_run", "track_run")
+
+
+def _patterns(rows: str, run: str, active: str) -> str:
+    c = ", ".join(_CELL)
+    return f"""SELECT {c}, pattern_type, occurrence_count, period, phase_start, round(precision, 6) AS precision, round(coverage, 6) AS coverage, round(confidence, 6) AS confidence, first_order, last_order,
+        CASE pattern_type WHEN 'periodic' THEN confirmed_at_order WHEN 'burst' THEN run_end END AS confirmed_at_order,
+        CASE pattern_type WHEN 'periodic' THEN next_expected_order END AS next_expected_order FROM {rows} JOIN {run} USING ({c}) LEFT JOIN {active} USING ({c})"""
+
+
 CTES["place_missing"] = """SELECT b.place, e.o AS missing_order FROM pf_best b JOIN pf_size z USING (place) JOIN place_elig e
     ON e.o BETWEEN b.f AND z.hi AND (e.o - b.f) % b.p = 0 WHERE NOT EXISTS (SELECT 1 FROM place_obs s WHERE s.place = b.place AND s.o = e.o)"""
 CTES["code_missing"] = """SELECT b.analysis_scope, b.station_id, b.source_type, b.canonical_code, e.o FROM cf_best b JOIN cf_size z USING (analysis_scope, station_id, source_type, canonical_code)
@@ -326,7 +396,8 @@ def sql(body: str) -> str:
                 used.append(name)
 
     need(body)
-    head = ",\n".join(f"{name} AS ({CTES[name]})" for name in used)
+    once = ("_num", "_good", "_rank", "_opened", "_cover", "_fits", "_first", "_settled", "_known", "_raised")  # read several times and dear
+    head = ",\n".join(f"{name} AS {'MATERIALIZED ' * name.endswith(once)}({CTES[name]})" for name in used)
     return f"WITH RECURSIVE {head}\n{body}" if used else body
 
 
@@ -613,6 +684,13 @@ _add("leader_clusters", """SELECT analysis_scope, station_id, cluster_id, round(
     count(DISTINCT o) AS product_count, min(o) AS first_order, max(o) AS last_order FROM leaders GROUP BY ALL""")
 
 _add("leader_patterns", "SELECT * FROM leader_pattern_rows")
+_add("alert_replay", "SELECT * FROM lr_alerts")
+_add("carrier_alerts", "SELECT * FROM tr_alerts")
+_add("carrier_active_periods", "SELECT * FROM tr_active")
+_add("carrier_patterns", _patterns("track_pattern_rows", "track_run", "tr_active"))
+_add("spatial_patterns", _patterns("leader_pattern_rows", "leader_run", "lr_active"))
+_add("alert_chart", """SELECT alert_type, dense_rank() OVER (ORDER BY alert_type) AS type_row, alert_at_order, severity
+    FROM (SELECT analysis_scope, alert_type, alert_at_order, severity FROM lr_alerts UNION ALL SELECT analysis_scope, alert_type, alert_at_order, severity FROM tr_alerts)""")
 _add("pattern_alerts", """
     SELECT analysis_scope, station_id, cluster_id, 'burst_detected' AS alert_type, 'critical' AS severity, min(c) AS alert_at_order, NULL::BIGINT AS predicted_order, 1.0::DOUBLE AS confidence, NULL::BIGINT AS period, NULL::BIGINT AS phase
         FROM prefix_run WHERE run_length >= 4 GROUP BY ALL
