@@ -16,7 +16,7 @@ class WordHashes(dict):
     """64-bit hash of each word's bytes, kept for words seen before; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 50_000:  # some 7 MB a worker
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -53,10 +53,14 @@ def hash_runs(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``, so that no list of Python texts grows large."""
+    """The same rows in batches of at most ``rows``, so that no list of Python texts grows large.
+
+    Workers outlive their tasks, so what Arrow freed but still holds goes back to the system at the end.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def flat_map(make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linewise.llm.arrow import small_batches
+from linewise.llm.arrow import list_array, small_batches
 
 LONG = 100_000
 BOUNDARY = re.compile(r"(?<=\S)(?=[ \t\n\x0b\f\r])")
@@ -65,12 +65,15 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id
     """``docs`` with ``ids``: the token ids of ``text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(rank_file, pattern)
+
+        def ids_of(value: str | None) -> np.ndarray:
+            """One text at a time, as a compact array."""
+            parts = [np.asarray(encoding.encode_ordinary(piece), np.int32) for piece in safe_pieces(value, long)] if value else []
+            return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
         for batch in small_batches(batches, 64):
-            column = [
-                [i for piece in safe_pieces(value, long) for i in encoding.encode_ordinary(piece)] if value else []
-                for value in batch.column(text).to_pylist()
-            ]
-            yield _replaced(batch, ids, pa.array(column, pa.list_(pa.int32())))
+            column = [ids_of(value.as_py()) for value in batch.column(text)]
+            yield _replaced(batch, ids, list_array(column, pa.int32()))
 
     return docs.mapInArrow(run, _with_column(docs, ids, T.ArrayType(T.IntegerType())))
 
@@ -80,7 +83,7 @@ def decode(docs: DataFrame, rank_file: str, pattern: str, ids: str = "ids", data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(rank_file, pattern)
         for batch in small_batches(batches, 64):
-            column = [encoding.decode_bytes(value) if value else b"" for value in batch.column(ids).to_pylist()]
+            column = [encoding.decode_bytes(value.as_py()) if value.is_valid and len(value) else b"" for value in batch.column(ids)]
             yield _replaced(batch, data, pa.array(column, pa.binary()))
 
     return docs.mapInArrow(run, _with_column(docs, data, T.BinaryType()))
