@@ -558,6 +558,22 @@ def quality_trend_windows(spark, folder):
     return windows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "records", "state_nok_rate", "tolerance_nok_rate")
 
 
+@query
+def quality_trend_sliding(spark, folder):
+    """Two weeks, every week."""
+    windows = trend.live_trend(_verdicts(spark, folder), "timestamp", width="14 days", slide="7 days")
+    return windows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "records", "state_nok_rate", "tolerance_nok_rate")
+
+
+@query
+def quality_sessions(spark, folder):
+    """Records of a variant on a line without a pause of ten days."""
+    found = trend.live_sessions(_verdicts(spark, folder), "timestamp", ["variant", "line"], "10 days")
+    return found.select(
+        "variant", "line", *[F.col(name).cast("timestamp_ntz").alias(name) for name in ("session_start", "session_end")], "records", "state_nok_rate", "tolerance_nok_rate"
+    )
+
+
 @query
 def quality_summary(spark, folder):
     return quality.quality_summary(_verdicts(spark, folder), "timestamp")

@@ -575,6 +575,12 @@ _add("group_quality", " UNION ALL ".join(
 _SHARE = "count(*) AS records, count(*) FILTER (state_result = 'NOK') / count(*) AS state_nok_rate, count(*) FILTER (tolerance_result = 'NOK') / count(*) AS tolerance_nok_rate"
 _add("quality_trend", f"SELECT CAST(timestamp AS DATE) AS day, {_SHARE} FROM verdicts GROUP BY 1")
 _add("quality_trend_windows", f"SELECT time_bucket(INTERVAL 7 DAY, timestamp, TIMESTAMP '1970-01-01') AS window_start, {_SHARE} FROM verdicts GROUP BY 1")
+_add("quality_trend_sliding", f"""SELECT window_start, {_SHARE} FROM (SELECT *, unnest([w, w - INTERVAL 7 DAY]) AS window_start
+    FROM (SELECT *, time_bucket(INTERVAL 7 DAY, timestamp, TIMESTAMP '1970-01-01') AS w FROM verdicts WHERE timestamp IS NOT NULL)) GROUP BY 1""")
+_add("quality_sessions", f"""SELECT variant, line, min(timestamp) AS session_start, max(timestamp) + INTERVAL 10 DAY AS session_end, {_SHARE} FROM (
+    SELECT *, sum(opens) OVER (PARTITION BY variant, line ORDER BY timestamp, source_row) AS session FROM (
+        SELECT *, CASE WHEN timestamp < lag(timestamp) OVER (PARTITION BY variant, line ORDER BY timestamp, source_row) + INTERVAL 10 DAY THEN 0 ELSE 1 END AS opens
+        FROM verdicts WHERE timestamp IS NOT NULL)) GROUP BY variant, line, session""")
 _add("quality_summary", f"SELECT count(*) AS record_count, count(*) FILTER (state_result = 'OK') AS state_ok_count, {_RATE}, CAST(sum(tolerance_violation_count) AS BIGINT) AS violation_event_count, count(*) FILTER (judgement_conflict) AS judgement_conflict_count, min(timestamp) AS date_start, max(timestamp) AS date_end FROM verdicts")
 _add("categorical_statistics", " UNION ALL ".join(
     f"SELECT '{field}' AS field, {field} AS value, count(*) AS value_count, count(*) / sum(count(*)) OVER () AS share FROM passes WHERE coalesce({field}, '') <> '' GROUP BY ALL" for field in ("aoi_failure_code", "block_code", "source_sheet", "ttnr")))
