@@ -11,7 +11,8 @@ Vote patterns have bounded numbers (three to the number of functions, times the
 all candidates of all texts, are gathered on the driver; texts and spans are not.
 
 Scanning is linear in the text: a base pattern can start only where its first character follows none of its
-own, so long runs of digits or letters are read once.
+own, so long runs of digits or letters are read once. Loose forms are limited by rule: a local part of at most 64 characters,
+at most five labels of at most 63 after the first, numbers of 7 to 25 digits; votes on context read the 24 characters before a span.
 
 Defined results: null and empty text has no spans; a kind without candidates has no classifier and only base
 spans; equal rows have equal spans; no rows give no rows; other columns are not read.
@@ -20,6 +21,7 @@ spans; equal rows have equal spans; no rows give no rows; other columns are not
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -107,6 +109,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+PRIOR_VOTES = 20.0
+
+
 def _vote(yes: bool, no: bool = False) -> str:
     return "+" if yes else "-" if no else "0"
 
@@ -144,7 +149,18 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, str, str]]:
     """(start, kind number, end, base, votes, shape), sorted. Loose spans that touch a base span are left out."""
     base = base_spans(text)
     taken = [(start, end) for start, _, end in base]
-    free = lambda s, e: all(e <= a or s >= b for a, b in taken)
+    apart: list[list[int]] = []  # base spans of all kinds joined where they overlap
+    for start, end in taken:
+        if apart and start < apart[-1][1]:
+            apart[-1][1] = max(apart[-1][1], end)
+        else:
+            apart.append([start, end])
+    starts = [start for start, _ in apart]
+
+    def free(start: int, end: int) -> bool:
+        at = bisect_left(starts, end) - 1
+        return at < 0 or apart[at][1] <= start
+
     loose = []
     if "[at" in text or "(at" in text or "[@" in text or "(@" in text or "[ at" in text or "( at" in text:
         loose += [(m.start(), 0, m.end()) for m in LOOSE_MAIL.finditer(text)]
@@ -182,12 +198,12 @@ def _terms(votes: str, shape: str) -> list[str]:
 def reliabilities(patterns: list[str], counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """EM with one accuracy a function, nothing voted being uninformative: chance of each pattern, accuracies.
 
-    The first two functions of a kind test its form and its checksum, gazetteer or mark. They start, and by a
-    prior in proportion to the candidates stay, far more reliable than the rest, which fixes which class is the real one.
+    The first two functions of a kind test its form and its checksum, gazetteer or mark. They start far more reliable than
+    the rest, which fixes which class is the real one; ``PRIOR_VOTES`` votes a function hold that belief against few data, and
+    the votes of a large corpus alone set its estimate.
     """
     votes = np.array([[{"+": 1, "-": -1, "0": 0}[v] for v in p] for p in patterns], float)
     believed = np.where(np.arange(votes.shape[1]) < 2, 0.97, 0.65)
-    weight = np.where(np.arange(votes.shape[1]) < 2, 10.0, 1.0) * counts.sum()
     accuracy, share = believed, 0.5
     chance = np.full(len(patterns), 0.5)
     for _ in range(rounds):
@@ -195,7 +211,7 @@ def reliabilities(patterns: list[str], counts: np.ndarray, rounds: int = 100) ->
         chance = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         right = ((votes > 0) * chance[:, None] + (votes < 0) * (1 - chance[:, None])) * counts[:, None]
         cast = (votes != 0) * counts[:, None]
-        accuracy = np.clip((right.sum(0) + weight * believed) / (cast.sum(0) + weight), 0.51, 0.99)
+        accuracy = np.clip((right.sum(0) + PRIOR_VOTES * believed) / (cast.sum(0) + PRIOR_VOTES), 0.51, 0.99)
         share = float(np.clip((chance * counts).sum() / counts.sum(), 0.02, 0.98))
     return chance, accuracy
 
