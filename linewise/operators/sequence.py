@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linewise.config import AnalysisConfig
 from linewise.functions import is_defect_status
 from linewise.operators.joining import lookup_join, match_join
-from linewise.operators.ordering import BLOCK, consecutive_runs, number_rows, rank_in_groups
+from linewise.operators.ordering import BLOCK, consecutive_runs, next_orders, number_rows, rank_in_groups
 from linewise.session import cut_lineage
 
 PRUNED_PERIODS = 10_000  # a table of the divisors of longer tolerant ranges is too much for a plan
@@ -75,6 +75,24 @@ def _residue_counts(
     )
 
 
+def _shared_divisors(orders: DataFrame, sizes: DataFrame, keys: Sequence[str], order: str, config: AnalysisConfig) -> DataFrame:
+    """keys, _open: the periods that divide enough gaps between neighbouring orders of a group.
+
+    Of n orders at most k = floor((1 - precision) * n) lie outside a class, and each of them spoils two gaps at most, so a
+    period that can pass divides at least n - 1 - 2 * k of the n - 1 gaps; with a precision of 3/4 or more that is at least
+    one gap. Divisors come from distinct gaps, so the longest period does not matter for the work.
+    """
+    gaps = next_orders(orders, keys, order).where("next_order is not null").groupBy(*keys, (F.col("next_order") - F.col(order)).alias("gap")).agg(F.count("*").alias("times"))
+    root = F.floor(F.sqrt("gap") + F.lit(1e-9)).cast("bigint")
+    small = F.filter(F.sequence(F.lit(1).cast("bigint"), root), lambda d: F.col("gap") % d == 0)
+    divisors = F.array_distinct(F.concat(small, F.transform(small, lambda d: F.floor(F.col("gap") / d))))
+    legal = F.filter(divisors, lambda d: d.between(config.minimum_period, config.maximum_period))
+    divided = gaps.select(*keys, "times", F.explode(legal).alias("period")).groupBy(*keys, "period").agg(F.sum("times").alias("divided"))
+    outside = F.floor(F.col("occurrences") * F.lit(1 - config.minimum_period_precision) + F.lit(1e-9))
+    enough = match_join(divided, sizes, keys).where(F.col("divided") >= F.col("occurrences") - 1 - 2 * outside)
+    return enough.groupBy(*keys).agg(F.collect_list("period").alias("_open"))
+
+
 def period_candidates(
     observed: DataFrame, keys: Sequence[str], order: str, config: AnalysisConfig
 ) -> DataFrame:
@@ -82,7 +100,8 @@ def period_candidates(
 
     A residue class of a period, tolerance included, lies inside the class of each of its
     divisors, so a group whose share is too small for a divisor cannot pass any multiple
-    of it. Primes are counted first and composites only for the groups left over. With a
+    of it. Without a tolerance, and where three quarters of the orders must match, only divisors that gaps share are
+    counted. Otherwise primes are counted first and composites only for the groups left over. With a
     tolerance, classes of small divisors hold nearly all orders and rule out nothing, so
     every period up to three times the width of a class is counted first too.
     """
@@ -98,6 +117,9 @@ def period_candidates(
         frequent = counts.where(F.col("matched") >= config.minimum_repeat_occurrences)
         return match_join(frequent, sizes, keys).where(F.col("matched") / F.col("occurrences") >= config.minimum_period_precision)
 
+    if tolerance == 0 and config.minimum_period_precision >= 0.75:
+        shared = lookup_join(orders, _shared_divisors(orders, sizes, keys, order, config), keys)
+        return passing(_residue_counts(shared, keys, order, F.col("_open"), 0))
     tested = tested_periods(config)
     if not tested:
         periods = F.sequence(F.lit(low), F.lit(high))

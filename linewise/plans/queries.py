@@ -443,6 +443,13 @@ def period_of_carrier_places(spark, folder):
     return sequence.fit_period(observed, ["place"], "position", CONFIG, slots, [])
 
 
+@query
+def period_of_carrier_places_wide(spark, folder):
+    """The longest legal period range."""
+    observed, slots = _carrier(spark, folder)
+    return sequence.fit_period(observed, ["place"], "position", AnalysisConfig(maximum_period=1_000_000), slots, [])
+
+
 @query
 def period_of_carrier_places_tolerant(spark, folder):
     observed, slots = _carrier(spark, folder)

@@ -31,7 +31,7 @@ def live_trend(records: DataFrame, time: str, lateness: str = "2 days", width: s
 
 
 def live_sessions(records: DataFrame, time: str, keys: Sequence[str], gap: str, lateness: str = "2 days") -> DataFrame:
-    """The same figures by session of each ``keys``: records less than ``gap`` apart belong together."""
+    """The same figures by session of each ``keys``: records at most ``gap`` apart belong together."""
     timed = _judged(records, time, lateness)
     return timed.groupBy(*keys, F.session_window(time, gap).alias("_w")).agg(*_shares()).select(
         *keys, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "records", "state_nok_rate", "tolerance_nok_rate"

@@ -150,20 +150,18 @@ CTES: dict[str, str] = {
 
 
 def _fit(prefix: str, obs: str, keys: list[str], elig: str, elig_keys: list[str], low: int = 2, high: int = 200,
-         tolerance: int = 0, coverage: float = 0.65) -> dict[str, str]:
+         tolerance: int = 0, coverage: float = 0.65, wide: str = "") -> dict[str, str]:
     """CTEs <prefix>_best: the best period of every group of ``obs`` (keys, o)."""
     k = ", ".join(keys)
     on = " AND ".join(f"c.{key} = e.{key}" for key in elig_keys) or "true"
-    near = f"least((s.o - x.r) % p, ((x.r - s.o) % p + p) % p) <= {tolerance}"
-    if tolerance:
-        cand = f"""SELECT {', '.join('x.' + key for key in keys)}, n, x.p, x.r, count(*) AS m, min(s.o) AS f, max(s.o) AS l
-            FROM (SELECT DISTINCT {k}, n, p, o % p AS r FROM {prefix}_size JOIN {obs} USING ({k}) CROSS JOIN range({low}, {high} + 1) t(p)) x
-            JOIN {obs} s ON {' AND '.join(f's.{key} = x.{key}' for key in keys)} AND least(((s.o - x.r) % x.p + x.p) % x.p, ((x.r - s.o) % x.p + x.p) % x.p) <= {tolerance}
-            GROUP BY ALL HAVING count(*) >= 4 AND count(*) / n >= 0.75"""
+    periods = wide or f"range({low}, {high} + 1) t(p)"
+    own = f"""SELECT {k}, n, p, o % p AS r, count(*) AS m, min(o) AS f, max(o) AS l FROM {prefix}_size JOIN {obs} USING ({k}) CROSS JOIN {periods} GROUP BY ALL"""
+    if tolerance:  # a class takes in its neighbours, counted residue by residue
+        cand = f"""SELECT {', '.join('x.' + key for key in keys)}, x.n, x.p, x.r, CAST(sum(y.m) AS BIGINT) AS m, min(y.f) AS f, max(y.l) AS l FROM ({own}) x JOIN ({own}) y
+            ON {' AND '.join(f'y.{key} = x.{key}' for key in keys)} AND y.p = x.p AND least((y.r - x.r + x.p) % x.p, (x.r - y.r + x.p) % x.p) <= {tolerance}
+            GROUP BY ALL HAVING sum(y.m) >= 4 AND sum(y.m) / x.n >= 0.75"""
     else:
-        cand = f"""SELECT {k}, n, p, o % p AS r, count(*) AS m, min(o) AS f, max(o) AS l FROM {prefix}_size JOIN {obs} USING ({k})
-            CROSS JOIN range({low}, {high} + 1) t(p) GROUP BY ALL HAVING count(*) >= 4 AND count(*) / n >= 0.75"""
-    del near
+        cand = f"{own} HAVING count(*) >= 4 AND count(*) / n >= 0.75"
     return {
         f"{prefix}_size": f"SELECT {k}, count(*) AS n, min(o) AS lo, max(o) AS hi FROM {obs} GROUP BY ALL",
         f"{prefix}_cand": cand,
@@ -194,7 +192,11 @@ CTES["cell_elig"] = "SELECT DISTINCT analysis_scope, station_id, production_orde
 CTES |= _fit("cf", "code_obs", _CODE, "code_elig", _CODE[:3]) | _runs("code_run", "code_obs", _CODE)
 CTES |= _fit("mf", "merged_obs", _CODE, "code_elig", _CODE[:3]) | _runs("merged_run", "merged_obs", _CODE)
 CTES |= _fit("pf", "place_obs", ["place"], "place_elig", [])
-CTES |= _fit("tf", "place_obs", ["place"], "place_elig", [], high=20, tolerance=1, coverage=0.3)
+CTES |= _fit("tf", "place_obs", ["place"], "place_elig", [], tolerance=1, coverage=0.3)
+# of three quarters of all orders two neighbours are in the class, so a period divides some gap
+CTES["place_gaps"] = "SELECT DISTINCT o - lag(o) OVER (PARTITION BY place ORDER BY o) AS g FROM place_obs"
+CTES["gap_periods"] = "SELECT DISTINCT p FROM (SELECT unnest(range(2, g + 1)) AS p, g FROM place_gaps WHERE g >= 2) WHERE g % p = 0 AND p <= 1000000"
+CTES |= _fit("wf", "place_obs", ["place"], "place_elig", [], wide="gap_periods")
 CTES |= _fit("xf", "cell_obs", ["analysis_scope", "station_id", "cluster_id"], "cell_elig", ["analysis_scope", "station_id"])
 CTES |= _runs("cell_run", "cell_obs", ["analysis_scope", "station_id", "cluster_id"])
 
@@ -535,6 +537,7 @@ CTES |= _runs("kind_run", "kind_obs", ["station_id", "event_type"])
 _add("burst_runs", "SELECT * FROM kind_run_all WHERE run_length >= 4")
 _FITTED = "p AS period, f AS phase_start, precision, coverage, confidence, m AS matched_count, n AS occurrence_count"
 _add("period_of_carrier_places", f"SELECT place, {_FITTED} FROM pf_best")
+_add("period_of_carrier_places_wide", f"SELECT place, {_FITTED} FROM wf_best")
 _add("period_of_carrier_places_tolerant", f"SELECT place, {_FITTED} FROM tf_best")
 _add("missing_carrier_slots", "SELECT * FROM place_missing")
 _add("carrier_slot_schedule", "SELECT b.place, b.p AS period, b.f AS phase_start, e.o AS slot_order, e.o - 3 AS warn_at_order FROM pf_best b JOIN place_elig e ON e.o >= b.f AND (e.o - b.f) % b.p = 0")
@@ -579,7 +582,7 @@ _add("quality_trend_sliding", f"""SELECT window_start, {_SHARE} FROM (SELECT *,
     FROM (SELECT *, time_bucket(INTERVAL 7 DAY, timestamp, TIMESTAMP '1970-01-01') AS w FROM verdicts WHERE timestamp IS NOT NULL)) GROUP BY 1""")
 _add("quality_sessions", f"""SELECT variant, line, min(timestamp) AS session_start, max(timestamp) + INTERVAL 10 DAY AS session_end, {_SHARE} FROM (
     SELECT *, sum(opens) OVER (PARTITION BY variant, line ORDER BY timestamp, source_row) AS session FROM (
-        SELECT *, CASE WHEN timestamp < lag(timestamp) OVER (PARTITION BY variant, line ORDER BY timestamp, source_row) + INTERVAL 10 DAY THEN 0 ELSE 1 END AS opens
+        SELECT *, CASE WHEN timestamp <= lag(timestamp) OVER (PARTITION BY variant, line ORDER BY timestamp, source_row) + INTERVAL 10 DAY THEN 0 ELSE 1 END AS opens
         FROM verdicts WHERE timestamp IS NOT NULL)) GROUP BY variant, line, session""")
 _add("quality_summary", f"SELECT count(*) AS record_count, count(*) FILTER (state_result = 'OK') AS state_ok_count, {_RATE}, CAST(sum(tolerance_violation_count) AS BIGINT) AS violation_event_count, count(*) FILTER (judgement_conflict) AS judgement_conflict_count, min(timestamp) AS date_start, max(timestamp) AS date_end FROM verdicts")
 _add("categorical_statistics", " UNION ALL ".join(

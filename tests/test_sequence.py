@@ -196,3 +196,21 @@ def test_order_lists_are_cut_by_block(spark):
     members = spark.createDataFrame([("a", o) for o in (1, 2, 9, 12, 2)], "k string, o bigint")
     parts = ordering.order_list_parts(members, ["k"], "o", block=10).orderBy("part").collect()
     assert [r["orders"] for r in parts] == ["1;2;9", "12"]
+
+
+@pytest.mark.parametrize("precision", [0.75, 0.9, 1.0, 0.6])
+def test_periods_up_to_the_legal_end(spark, precision):
+    """Shared divisors of gaps leave out no class; periods of hundreds of thousands are found."""
+    rng = random.Random(8)
+    groups = {"far": [5 + 700_003 * k for k in range(6)] + [12], "two": [3, 1_000_003], "run": list(range(50, 60))}
+    for number in range(30):
+        period, phase = rng.choice([1, 2, 6, 12, 35, 97]), rng.randint(1, 40)
+        groups[f"g{number}"] = [phase + period * k for k in sorted(rng.sample(range(60), rng.randint(3, 12)))] + rng.sample(range(1, 900), rng.randint(0, 4))
+    config = AnalysisConfig(minimum_period=1, maximum_period=120, minimum_period_precision=precision, minimum_repeat_occurrences=2)
+    rows = sequence.period_candidates(frame(spark, groups), ["k"], "o", config).collect()
+    want = {(k, *found) for k, orders in groups.items() for found in brute_candidates(orders, config)}
+    assert {(r["k"], r["period"], r["residue"], r["matched"]) for r in rows} == want
+    if precision >= 0.75:
+        wide = AnalysisConfig(maximum_period=1_000_000, minimum_period_precision=precision)
+        found = {(r["k"], r["period"]) for r in sequence.period_candidates(frame(spark, groups), ["k"], "o", wide).collect()}
+        assert (("far", 700_003) in found) == (precision < 0.85)
