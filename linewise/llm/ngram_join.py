@@ -396,17 +396,19 @@ def similar_groups(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
         if population.get(at) and most_differences(low, high, rule.percent)
     }
 
-    # signatures that two documents share, with equal sets taken as one
+    # equal sets are one class and only its lead has postings; an id with several texts keeps them all
+    plain = filled.groupBy("doc_id").agg(F.countDistinct("set_1", "set_2").alias("sets")).where("sets = 1")
+    twins = stored(copies.join(plain, copies["b"] == plain["doc_id"]).groupBy("doc_id").agg(F.min("a").alias("lead")))
+    led = near_side(twins, twins)
+    leads = docs.select("doc_id", "text").where("doc_id is not null").join(led, "doc_id", "left_anti")
+
+    # signatures that two leads share
     # (a signature holds at most one posting a document, and a document has hundreds, so none can hold more than a small
     # part of all postings; one exchange, counted in place, costs half of a count and a join back)
     whole = Window.partitionBy("signature")
-    postings = _postings(docs.where("doc_id is not null"), rule, limits, plans)
+    postings = _postings(leads, rule, limits, plans)
     met = postings.withColumn("n", F.count("*").over(whole)).withColumn("owned", F.max("own").over(whole)).where("n > 1 and owned").drop("n", "owned")
-    plain = filled.groupBy("doc_id").agg(F.countDistinct("set_1", "set_2").alias("sets")).where("sets = 1")  # ids with one text
-    twins = stored(copies.join(plain, copies["b"] == plain["doc_id"]).groupBy("doc_id").agg(F.min("a").alias("lead")))
-    twins = near_side(twins, twins)
-    met = met.join(twins, "doc_id", "left").select("signature", F.coalesce("lead", "doc_id").alias("id"), "own").distinct()
-    met = stored(met)
+    met = stored(met.select("signature", F.col("doc_id").alias("id"), "own").distinct())
     crowd = met.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(met.join(crowd, "signature"))
     central = met.groupBy("id").agg(F.sum("n").alias("company"))
@@ -416,13 +418,15 @@ def similar_groups(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     first = met.join(pivots, "signature").select(F.col("p.id").alias("pivot"), F.col("id").alias("other"))
     pairs = stored(first.where("pivot != other").distinct())
     deltas = stored(_differences(docs, pairs, rule))
-    links = copies.union(deltas.where("linked").select("pivot", "id"))
+    several = copies.join(twins, copies["b"] == twins["doc_id"], "left_anti")  # copies among the texts of one id; the others follow their lead
+    links = several.union(deltas.where("linked").select("pivot", "id"))
     labels = components(links)
     far = stored(_pairs_of_far_members(met, pivots, deltas, labels, rule))
     more = _links_between_members(deltas, labels, rule).union(_differences(docs, far, rule).where("linked").select("pivot", "id"))
     more = stored(more)
     if not more.isEmpty():
         labels = components(links.union(more))
-    return sizes.join(labels, sizes["doc_id"] == labels["node"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    follows = sizes.join(led.withColumnRenamed("doc_id", "led"), F.col("doc_id") == F.col("led"), "left").withColumn("stands_for", F.coalesce("lead", "doc_id"))
+    return follows.join(labels, F.col("stands_for") == labels["node"], "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "stands_for").alias("component_id")
     )
