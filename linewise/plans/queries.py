@@ -870,7 +870,7 @@ def run_summary(spark, folder):
     ordered = star.ordered_passes(spark, folder)
     products, detections = star.products_of_passes(ordered), star.detections_of_passes(ordered)
     patterns = sequence.code_patterns(_codes(spark, folder), CONFIG, with_ids=False)
-    alerts = detections.where("detection_type = 'micro'").select("analysis_scope")
+    alerts, _ = replay.replay_batch(products, detections, CONFIG)
     return tables.run_summary(products, detections, patterns, alerts)
 
 
@@ -888,14 +888,14 @@ def _view(spark, folder, selected=("5020",), source="AOI_FAILURE"):
     patterns = cut_lineage(sequence.classify_sequences(
         detections.where("cluster_id is not null"), keys, "production_order", CONFIG, products, keys[:2], "fixed_position_repeat", burst_reports_run=True
     ))
-    alerts = detections.where("detection_type = 'micro'").select("analysis_scope", "cluster_id", F.col("detected_id").alias("alert_id"), "global_order")
+    alerts = cut_lineage(replay.replay_batch(products, detections, CONFIG)[0])
     tracks = detections.select("analysis_scope", F.concat_ws("-", "station_id", "cluster_id").alias("trajectory_id"), "global_order")
     space = cut_lineage(evidence.code_spatial(products, mapped, detections))
     code_patterns = cut_lineage(sequence.code_patterns(codes, CONFIG, with_ids=False))
     frames = {
         "patterns": patterns, "alerts": alerts, "trajectories": tracks,
         "pattern_orders": detections.select(*keys, F.lit("observed").alias("role"), "global_order").distinct(),
-        "alert_orders": alerts.select("alert_id", "global_order"), "trajectory_orders": tracks.select("trajectory_id", "global_order"),
+        "alert_orders": analysis.alert_orders(alerts, detections, products, CONFIG), "trajectory_orders": tracks.select("trajectory_id", "global_order"),
         "code_pattern_orders": sequence.pattern_image_links(codes, code_patterns, mapped),
         "code_space_orders": evidence.code_spatial_support(mapped, detections),
         "code_patterns": code_patterns, "code_image_links": mapped, "code_space": space,

@@ -294,7 +294,7 @@ CTES["track_places"] = "SELECT '5S' AS analysis_scope, 'K' || l_orderkey % 3 AS
 CTES["track_obs"] = """SELECT DISTINCT analysis_scope, station_id, 'P' || place AS cluster_id, o FROM track_places WHERE flag <> 'A'
     UNION SELECT analysis_scope, station_id, 'S' || supplier % 5, o FROM track_places"""
 CTES["track_elig"] = "SELECT DISTINCT analysis_scope, station_id, o FROM track_places"
-CTES |= _replay("tr", "track_obs", "track_elig") | _replay("lr", "leader_obs", "cell_elig")
+CTES |= _replay("tr", "track_obs", "track_elig") | _replay("lr", "leader_obs", "cell_elig") | _replay("cr", "cell_obs", "cell_elig")
 CTES |= _fit("kf", "track_obs", _CELL, "track_elig", _CELL[:2]) | _runs("track_run", "track_obs", _CELL)
 CTES["track_pattern_rows"] = CTES["cell_pattern_rows"].replace("xf_", "kf_").replace("cell_run", "track_run")
 
@@ -752,7 +752,7 @@ _add("cell_cluster_summary", """SELECT analysis_scope, station_id, cluster_id, r
     count(DISTINCT production_order) AS product_count, min(production_order) AS first_order, max(production_order) AS last_order FROM detections WHERE cluster_id IS NOT NULL GROUP BY ALL""")
 _add("cell_patterns", "SELECT * FROM cell_pattern_rows")
 CTES["summary_rows"] = """SELECT analysis_scope, 'product' AS kind FROM products UNION ALL SELECT analysis_scope, detection_type FROM detections
-    UNION ALL SELECT analysis_scope, 'pattern_' || pattern_type FROM code_pattern_rows UNION ALL SELECT analysis_scope, 'alert' FROM detections WHERE detection_type = 'micro'"""
+    UNION ALL SELECT analysis_scope, 'pattern_' || pattern_type FROM code_pattern_rows UNION ALL SELECT analysis_scope, 'alert' FROM cr_alerts"""
 _add("run_summary", """SELECT analysis_scope, count(*) FILTER (kind = 'product') AS product_count, count(*) FILTER (kind = 'micro') AS micro_defect_count, count(*) FILTER (kind = 'local') AS local_defect_count,
     count(*) FILTER (kind = 'region_anomaly') AS region_anomaly_count, count(*) FILTER (kind = 'alert') AS alert_count, count(*) FILTER (kind = 'pattern_periodic') AS periodic_pattern_count,
     count(*) FILTER (kind = 'pattern_burst') AS burst_pattern_count, count(*) FILTER (kind IN ('micro', 'local', 'region_anomaly')) AS defect_count, count(*) FILTER (starts_with(kind, 'pattern_')) AS pattern_count
@@ -763,7 +763,7 @@ CTES["aoi_links"] = "SELECT * FROM defect_links WHERE source_type = 'AOI_FAILURE
 CTES["seen"] = "SELECT DISTINCT global_order FROM aoi_links WHERE canonical_code = '5020'"
 CTES["ties"] = "SELECT DISTINCT spatial_id AS cluster_id FROM pairs WHERE canonical_code = '5020' AND source_type = 'AOI_FAILURE'"
 CTES["view_patterns"] = "SELECT pattern_type FROM cell_pattern_rows WHERE cluster_id IN (SELECT cluster_id FROM ties)"
-CTES["view_alerts"] = "SELECT 1 AS one FROM detections WHERE detection_type = 'micro' AND cluster_id IN (SELECT cluster_id FROM ties)"
+CTES["view_alerts"] = "SELECT 1 AS one FROM cr_alerts WHERE cluster_id IN (SELECT cluster_id FROM ties)"
 CTES["view_codes"] = "SELECT 1 AS one FROM code_pattern_rows WHERE canonical_code = '5020' AND source_type = 'AOI_FAILURE'"
 CTES["aoi_cats"] = "SELECT DISTINCT analysis_scope, global_order, canonical_code AS category FROM aoi_links"
 _SCOPED = "SELECT analysis_scope, count(*) AS n FROM products GROUP BY 1"
