@@ -48,8 +48,8 @@ def test_line_dedup_of_nothing(nothing):
     assert line_dedup.drop_repeated_lines(nothing).count() == 0
 
 
-@pytest.mark.parametrize("capacity", [1, 100_000])
-def test_exact_dedup(docs, corpus, capacity):
+@pytest.mark.parametrize("capacity, least_hot", [(1, 0), (100_000, 1_000)])
+def test_exact_dedup(docs, corpus, capacity, least_hot):
     norm = lambda t: re.sub(f"[{SPACES}]", "", t or "")
     groups = {}
     for i, t, _ in corpus:
@@ -59,13 +59,27 @@ def test_exact_dedup(docs, corpus, capacity):
         _, nameless, best = min(groups[norm(t)])
         best = None if nameless else best
         want.append((i, best, len(groups[norm(t)]), i == best, hashlib.sha256(norm(t).encode()).hexdigest()))
-    got = exact_dedup.dedup_exact(docs, capacity).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    got = exact_dedup.dedup_exact(docs, capacity, least_hot).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
-def test_exact_dedup_splits_buckets_and_takes_no_rows(docs, nothing):
-    buckets = {r["bucket"] for r in exact_dedup.dedup_exact(docs, 1).select("bucket").collect()}
-    assert max(int(b.split("-")[0]) for b in buckets) >= exact_dedup.FIRST_DEPTH
+def test_exact_dedup_works_through_split_buckets(spark, docs, nothing, monkeypatch):
+    """Every row's bucket is the directory's for its key, buckets differ in depth, and colliding keys stay apart by their bytes."""
+    rows = exact_dedup.dedup_exact(docs, 1).select("bucket", "text_sha256").collect()
+    assert max(int(r["bucket"].split("-")[0]) for r in rows) >= exact_dedup.FIRST_DEPTH
+    texts = spark.createDataFrame([(i, f"text {i % 300}") for i in range(900)], "doc_id long, text string")
+    keys = texts.select(F.xxhash64(F.replace("text", F.lit(" "), F.lit(""))).alias("key"), "doc_id")
+    directory = exact_dedup.split_buckets(keys, 3).cache()
+    buckets = {r["doc_id"]: r["bucket"] for r in exact_dedup.with_bucket(keys, directory).collect()}
+    sizes = {}
+    for i, bucket in buckets.items():
+        sizes.setdefault(bucket, set()).add(i % 300)
+    assert max(map(len, sizes.values())) <= 3 and len({b.split("-")[0] for b in sizes}) > 1
+    got = exact_dedup.dedup_exact(texts, 3).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["bucket"]) for r in got} == {(i, i % 300, 3, buckets[i]) for i in range(900)}
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *names: F.crc32(F.substring(names[0], 1, 5)))  # many texts under one key
+    got = exact_dedup.dedup_exact(texts, 3, least_hot=100).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(i, i % 300, 3) for i in range(900)}
     assert exact_dedup.dedup_exact(nothing).count() == 0
 
 
