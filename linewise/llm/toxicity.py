@@ -230,9 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame, rule: ToxicRule = ToxicRule()) -> To
                 names=["best", "sum", "toxic"],
             )
     # equal features are counted, then weighed by repeating: the rows are bounded by the labelled sample
-    seen = train.mapInArrow(described, "best double, sum double, toxic long").orderBy("best", "sum", "toxic").collect()
-    x = np.array([[r["best"] / 10, r["sum"] / 50] for r in seen])
-    weights = logistic(x, np.array([float(r["toxic"] > 0) for r in seen]))
+    counted = train.mapInArrow(described, "best double, sum double, toxic long").groupBy("best", "sum", "toxic").count().collect()
+    seen = [r for r in sorted(tuple(row) for row in counted) for _ in range(r[3])]  # in one order, so that reruns agree
+    x = np.array([[best / 10, total / 50] for best, total, _, _ in seen])
+    weights = logistic(x, np.array([float(toxic > 0) for _, _, toxic, _ in seen]))
     return ToxicModel(scores, other, scaled.decay, scaled.scale, tuple(weights.tolist()), rule.significance)
 
 
