@@ -17,7 +17,7 @@ from linewise.functions import blank_to_null, is_analyzable, is_blank, is_defect
 from linewise.operators.joining import match_join
 from linewise.operators.ordering import nearest_non_null, number_rows, totals_before
 from linewise.operators.quality import numeric_columns
-from linewise.session import cut_lineage
+from linewise.session import cut_lineage, stored_model
 
 SCOPE = "analysis_scope"
 
@@ -394,6 +394,7 @@ def logistic_importance(
             probabilityCol="_p", maxIter=200, tol=1e-9,
         ),
     ]).fit(imputed(train))
+    model = stored_model(spark, model)
     weights = [float(value) for value in model.stages[-1].coefficients]
     total = sum(map(abs, weights)) or 1.0
     importance = spark.createDataFrame(

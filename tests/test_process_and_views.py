@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from linewise.config import AnalysisConfig
@@ -107,6 +108,18 @@ def test_chosen_code_filters_everything(spark):
     assert bare.sections["periodic"].count() == 0 and bare.alerts.count() == 0 and bare.sections["code"].count() == 1
 
 
+def test_model_is_scored_after_an_observed_write(spark):
+    """A session that has observed a write cannot travel with the summary of a fit."""
+    products, parameters, defects = sixty(spark)
+    seen = Observation()
+    products.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 60
+    joined = process.defect_counts(process.exact_process_join(products, parameters)[0], defects)
+    table, summary = process.logistic_importance(joined, ["temperature", "pressure"], batch="batch")
+    weights = {r["parameter"]: r["coefficient"] for r in table.collect()}
+    assert weights["temperature"] > abs(weights["pressure"]) and summary["validation_auc"] is not None
+
+
 def test_lists_search_and_nearest(spark):
     mapping = spark.createDataFrame([(1, 2), (2, 4), (3, 7)], "from_order bigint, to_order bigint")
     lists = spark.createDataFrame([(1, "bad;2;99"), (2, "3;1;3"), (3, "")], "i int, o string")
