@@ -75,9 +75,10 @@ def filter_order_evidence(
     wanted = orders.select(F.col(order).cast("bigint").alias("_order")).where("_order is not null").distinct()
     # row numbers are stored, so a recomputed task cannot number its rows differently
     numbered = cut_lineage(frame.withColumn("_row", F.monotonically_increasing_id()))
-    spread = numbered.withColumn("_order", F.explode(F.array_distinct(F.concat(*pieces))))
-    kept = spread.join(wanted, "_order", "left_semi")
-    return kept.groupBy("_row").agg(F.first(F.struct(*frame.columns)).alias("_r")).select("_r.*")
+    # only row numbers and orders meet the wanted orders; the columns travel once, with the rows that stay
+    spread = numbered.select("_row", F.explode(F.array_distinct(F.concat(*pieces))).alias("_order"))
+    kept = spread.join(wanted, "_order", "left_semi").select("_row").distinct()
+    return numbered.join(kept, "_row", "left_semi").select(*frame.columns)
 
 
 def search_all_columns(frame: DataFrame, pattern: str) -> DataFrame:
@@ -106,15 +107,14 @@ def remap_order_lists(frame: DataFrame, column: str, mapping: DataFrame, key: Se
     List order and repeats are kept. ``key`` columns scope the mapping.
     """
     row = cut_lineage(frame.withColumn("_row", F.monotonically_increasing_id()))
-    parts = row.select("*", F.posexplode_outer(order_array(F.col(column), ";")).alias("_at", "from_order"))
-    joined = match_join(parts, mapping.select(*key, "from_order", "to_order"), [*key, "from_order"], "left")
+    # only row numbers, positions and orders meet the mapping; the other columns travel once, to the new text
+    parts = row.select("_row", *key, F.posexplode_outer(order_array(F.col(column), ";")).alias("_at", "from_order"))
+    known = mapping.where("to_order is not null").select(*key, "from_order", "to_order")
+    found = match_join(parts, known, [*key, "from_order"]).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_at", "to_order"))).alias("_l"))
+    text = F.array_join(F.transform("_l", lambda item: item["to_order"].cast("string")), ";").alias("_text")
     others = [name for name in frame.columns if name != column]
-    merged = joined.groupBy("_row").agg(
-        F.first(F.struct(*others)).alias("_r") if others else F.first(F.lit(1)).alias("_r"),
-        F.sort_array(F.collect_list(F.when(F.col("to_order").isNotNull(), F.struct("_at", "to_order")))).alias("_l"),
-    )
-    text = F.array_join(F.transform("_l", lambda item: item["to_order"].cast("string")), ";")
-    return merged.select(*([F.col("_r.*")] if others else []), text.alias(column)).select(*frame.columns)
+    merged = row.select("_row", *others).join(found.select("_row", text), "_row", "left")
+    return merged.select(*others, F.coalesce("_text", F.lit("")).alias(column)).select(*frame.columns)
 
 
 def nearest_order(products: DataFrame, order: int) -> DataFrame:

@@ -120,6 +120,33 @@ def test_model_is_scored_after_an_observed_write(spark):
     assert weights["temperature"] > abs(weights["pressure"]) and summary["validation_auc"] is not None
 
 
+def test_order_lists_of_repeated_rows_keep_every_row(spark):
+    """Equal rows, repeated and null orders, a mapping with several and null targets, and mappings by key."""
+    mapping = spark.createDataFrame([(1, 2), (1, 3), (2, None), (4, 8)], "from_order bigint, to_order bigint")
+    lists = spark.createDataFrame([(1, "1;4;1"), (1, "1;4;1"), (2, "2"), (3, None), (None, "4")], "i int, o string")
+    got = sorted((r["i"] or 0, r["o"]) for r in views.remap_order_lists(lists, "o", mapping).collect())
+    assert got == [(0, "8"), (1, "2;3;8;2;3"), (1, "2;3;8;2;3"), (2, ""), (3, "")]
+    keyed = spark.createDataFrame([(1, 4, 5), (None, 4, 6)], "i int, from_order bigint, to_order bigint")
+    got = sorted((r["i"] or 0, r["o"]) for r in views.remap_order_lists(lists, "o", keyed, ["i"]).collect())
+    assert got == [(0, "6"), (1, "5"), (1, "5"), (2, ""), (3, "")]
+    orders = spark.createDataFrame([(4,), (4,), (None,), (9,)], "global_order bigint")
+    kept = views.filter_order_evidence(lists, orders, ("o",), ("i",))
+    assert kept.columns == ["i", "o"] and sorted((r["i"] or 0, r["o"]) for r in kept.collect()) == [(0, "4"), (1, "1;4;1"), (1, "1;4;1")]
+
+
+def test_order_lists_are_spread_without_their_columns(spark):
+    """The exploded rows hold numbers only, so what is shuffled does not grow with the text times its orders."""
+    mapping = spark.createDataFrame([(1, 2)], "from_order bigint, to_order bigint")
+    lists = spark.createDataFrame([(1, "1;4;1", "x")], "i int, o string, note string")
+    orders = spark.createDataFrame([(4,)], "global_order bigint")
+    for made in (views.remap_order_lists(lists, "o", mapping), views.filter_order_evidence(lists, orders, ("o",), ("i",))):
+        plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        spread = [line for line in plan if "Generate" in line]
+        assert len(spread) == 1 and "note#" not in spread[0]
+        below = plan[plan.index(spread[0]):plan.index(spread[0]) + 2]
+        assert not any("note#" in line for line in below if "Project" in line)
+
+
 def test_lists_search_and_nearest(spark):
     mapping = spark.createDataFrame([(1, 2), (2, 4), (3, 7)], "from_order bigint, to_order bigint")
     lists = spark.createDataFrame([(1, "bad;2;99"), (2, "3;1;3"), (3, "")], "i int, o string")
