@@ -14,7 +14,8 @@ Equal sets are one class from the start. Per signature, members are verified aga
 (the member with the most company), which also gives each member's difference from the pivot. Two
 members a, b of a pivot differ by |da| + |db| - 2 |da & db|; two members linked to the pivot are one component
 already, and any other pair can link only with an overlap of differences that grows with their
-sizes. So those pairs are found by a prefix filter on the differences, rarest elements first, and
+sizes. So those pairs are found by a prefix filter on the differences, rarest elements first, screened by their odd sketches
+(bit i: whether an odd number of elements falls on i; the sketches of a and b differ in at most as many bits as the sets differ in elements), and
 verified exactly from them: a group of near copies, linked or just short of it, costs about as many
 checks as members, not pairs. A member less than half like its pivot, and more than two links away from it, met it by chance; it cannot link
 with a member that is linked to the pivot (Jaccard distance is a metric), and is checked against the
@@ -138,6 +139,13 @@ def signatures(hashes: np.ndarray, plan: Allocation) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def odd_sketch(hashes: np.ndarray, size: int) -> np.ndarray:
+    """One and a half bits for each of ``size`` elements: bit i is whether an odd number of ``hashes`` falls on it."""
+    bits = 64 * -(-size * 3 // 128)
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sizes(docs: DataFrame, rule: JoinRule) -> DataFrame:
     """doc_id, n_shingles, set_1, set_2 (128 bits that name the set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +198,9 @@ def _parted(pairs: DataFrame, key: str, other: str, rows: int) -> DataFrame:
 
 
 def _differences(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame:
-    """pivot, base, id, own, size, delta, linked, far, counts for pairs (pivot, other): each set minus the other.
+    """pivot, base, id, own, size, delta, linked, far, counts, sketch for pairs (pivot, other): each set minus the other.
 
-    far pairs (less than half alike, and at a distance above twice that of a link) have no delta; members that are not linked have 64 shingle counts, four to a number.
+    far pairs (less than half alike, and at a distance above twice that of a link) have no delta and no sketch of it; members that are not linked have 64 shingle counts, four to a number.
 
     base and own name the two sets, for ids with several texts. Each set travels once per pair; a pivot with
     many partners is split.
@@ -232,7 +240,7 @@ def _differences(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leads = None, []  # the sets of the pivot's rows come first in the group
         name = lambda data: int(np.frombuffer(xxhash.xxh3_64_digest(data), np.int64)[0])
-        kinds, none = (*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.list_(pa.int64())), np.zeros(0, np.int64)
+        kinds, none = (*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), *[pa.list_(pa.int64())] * 2), np.zeros(0, np.int64)
         for batch in small_batches(batches):
             out = []
             for pivot, part, follows, id_, data in zip(*[batch.column(n).to_pylist() for n in ("pivot", "part", "follows", "id", "data")], strict=True):
@@ -248,27 +256,32 @@ def _differences(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame
                     linked = 100 * common >= rule.percent * (len(lead) + len(hashes) - common)
                     far = not linked and 100 * len(delta) > apart * (len(lead) + len(hashes) - common)
                     counts = none if linked else np.minimum(np.bincount((hashes % np.uint64(64)).astype(np.int64), minlength=64), 32_767).astype("<i2").view(np.int64)
-                    out.append((pivot, base, id_, name(data), len(hashes), none if far else delta.view(np.int64), linked, far, counts))
+                    kept, sketch = (none, none) if far else (delta.view(np.int64), odd_sketch(delta, len(lead)))
+                    out.append((pivot, base, id_, name(data), len(hashes), kept, linked, far, counts, sketch))
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
             arrays = [list_array(list(c), pa.int64()) if k == kinds[5] else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["pivot", "base", "id", "own", "size", "delta", "linked", "far", "counts"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["pivot", "base", "id", "own", "size", "delta", "linked", "far", "counts", "sketch"])
 
     sent = asked.mapInArrow(sets, "pivot long, part int, follows boolean, id long, data binary")
     grouped = sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "follows")
-    return grouped.mapInArrow(check, "pivot long, base long, id long, own long, size int, delta array<long>, linked boolean, far boolean, counts array<long>")
+    return grouped.mapInArrow(
+        check, "pivot long, base long, id long, own long, size int, delta array<long>, linked boolean, far boolean, counts array<long>, sketch array<long>"
+    )
 
 
-def _links_between_members(deltas: DataFrame, labels: DataFrame, rule: JoinRule) -> DataFrame:
-    """Links (a, b) between members of one pivot, of different components, at least one not linked to the pivot.
+def _members_that_meet(deltas: DataFrame, labels: DataFrame, rule: JoinRule) -> tuple[DataFrame, DataFrame]:
+    """Members of pivots, and pairs (a, b) of members of one pivot that may link: of different components, at least one not linked to the pivot.
 
     With c = (100 - percent) / (100 + percent), a and b link only if 2 |da & db| >= r(a) + r(b), r(x) = |dx| - c |x|.
     The sum is above 0 for such pairs. Each member's least overlap t follows from the least r it can meet, and two
-    members with that overlap share one of their |d| - t + 1 rarest elements.
+    members with that overlap share one of their |d| - t + 1 rarest elements. Of pairs that share one, those whose
+    sketches differ in more bits than linked sets can differ in elements are no rows: members that have passages in common, but
+    do not link, meet often.
     """
     plus, minus = 100 + rule.percent, 100 - rule.percent
     group = ["pivot", "base"]
     named = deltas.where("not far").join(labels, deltas["id"] == labels["node"], "left").select(
-        *group, "id", "own", "size", "delta", "linked", F.coalesce("component", "id").alias("component"),
+        *group, "id", "own", "size", "delta", "linked", "sketch", F.coalesce("component", "id").alias("component"),
         (plus * F.size("delta") - minus * F.col("size")).cast("long").alias("r"),
     )
     bounds = named.groupBy(*group).agg(F.min("r").alias("any"), F.min(F.when(~F.col("linked"), F.col("r"))).alias("open"), F.count("*").alias("n"))
@@ -281,21 +294,31 @@ def _links_between_members(deltas: DataFrame, labels: DataFrame, rule: JoinRule)
     often = elements.groupBy(*group, "e").agg(F.count("*").alias("n")).where("n > 1")
     # elements of one member only are the rarest and meet nobody: they use up the prefix first
     ranked = elements.join(often, [*group, "e"]).groupBy(*group, "id", "own", "prefix").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("held"))
-    light = members.select(*group, "id", "own", "component", "linked", "r", F.size("delta").alias("whole"))
+    light = members.select(*group, "id", "own", "size", "component", "linked", "sketch", "r", F.size("delta").alias("whole"))
     ranked = ranked.join(light, [*group, "id", "own"])
     ranked = ranked.withColumn("keep", F.col("prefix") - (F.col("whole") - F.size("held"))).where("keep > 0")
-    placed = ranked.select(*group, "id", "own", "component", "linked", "r", F.size("held").alias("many"), F.posexplode(F.slice("held", F.lit(1), F.col("keep"))).alias("at", "h"))
+    own = ("id", "own", "size", "component", "linked", "sketch", "r")
+    placed = ranked.select(*group, *own, F.size("held").alias("many"), F.posexplode(F.slice("held", F.lit(1), F.col("keep"))).alias("at", "h"))
     prefixes = stored(placed.withColumn("e", F.col("h.e")).withColumn("rest", F.col("many") - F.col("at")).drop("h", "at", "many"))
 
     def side(letter: str) -> DataFrame:
-        return prefixes.select(*group, "e", *[F.col(c).alias(f"{c}_{letter}") for c in ("id", "own", "component", "linked", "r", "rest")])
+        return prefixes.select(*group, "e", *[F.col(c).alias(f"{c}_{letter}") for c in (*own, "rest")])
 
     # from the first element they share on, neither has more than its rest left to share
     enough = 2 * plus * F.least("rest_a", "rest_b") >= F.col("r_a") + F.col("r_b")
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, bits: n + bits)
+    near = plus * apart <= minus * (F.col("size_a") + F.col("size_b"))
     key = lambda letter: F.struct(f"id_{letter}", f"own_{letter}")
     met = side("a").where("not linked_a").join(side("b"), [*group, "e"]).where(
-        (F.col("component_a") != F.col("component_b")) & (F.col("linked_b") | (key("a") < key("b"))) & enough
+        (F.col("component_a") != F.col("component_b")) & (F.col("linked_b") | (key("a") < key("b"))) & enough & near
     ).select(*group, "id_a", "own_a", "id_b", "own_b").distinct()
+    return members, met
+
+
+def _links_between_members(deltas: DataFrame, labels: DataFrame, rule: JoinRule) -> DataFrame:
+    """Links (a, b) among the pairs of members that meet, verified from their differences from the pivot."""
+    group = ["pivot", "base"]
+    members, met = _members_that_meet(deltas, labels, rule)
 
     def full(letter: str) -> DataFrame:
         return members.select(*group, *[F.col(c).alias(f"{c}_{letter}") for c in ("id", "own", "size", "delta")])

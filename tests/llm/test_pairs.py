@@ -162,3 +162,19 @@ def test_far_members_are_two_links_from_the_pivot(spark, percent, far):
     pairs = spark.createDataFrame([(1, 2)], "pivot long, other long")
     row = ngram_join._differences(docs, pairs, ngram_join.JoinRule(words=1, percent=percent)).first()
     assert (row["linked"], row["far"], len(row["delta"])) == (False, far, 0 if far else 55)
+
+
+def test_members_that_share_passages_but_cannot_link_do_not_meet(spark):
+    """Each member lacks 60 of the pivot's 200 words: all share rare words, and only the planted two can link."""
+    draw, rule = random.Random(5), ngram_join.JoinRule(words=1, percent=80)
+    words = [f"w{i}" for i in range(200)]
+    kept = [draw.sample(words, 140) for _ in range(40)]
+    kept[39] = kept[38][:135] + draw.sample(sorted(set(words) - set(kept[38])), 5)
+    rows = [(0, " ".join(words)), *[(i, " ".join(w)) for i, w in enumerate(kept, 1)]]
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 41)], "pivot long, other long")
+    deltas = ngram_join._differences(spark.createDataFrame(rows, "doc_id long, text string"), pairs, rule).cache()
+    labels = spark.createDataFrame([], "node long, component long")
+    met = ngram_join._members_that_meet(deltas, labels, rule)[1].collect()
+    assert {frozenset((r["id_a"], r["id_b"])) for r in met} == {frozenset((39, 40))}
+    links = ngram_join._links_between_members(deltas, labels, rule).collect()
+    assert {frozenset(r) for r in links} == {frozenset((39, 40))}
