@@ -6,6 +6,8 @@ place and none looks past it, so the pieces' ids joined are the whole text's ids
 regex engine never holds a very long text at once. A text without such a place is encoded whole.
 Decoding joins the raw bytes of the ids, so ids of a broken character decode too.
 
+Spark sends texts and ids to Python in short batches (``arrow.short_batches``), so a task's memory does not grow with its rows.
+
 The rank file must be present on every executor (its path is a parameter); each task reads it once.
 
 Defined results: null text is empty and has no ids; null ids decode to no bytes; an unknown id is an
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linewise.llm.arrow import list_array, small_batches
+from linewise.llm.arrow import list_array, short_batches, small_batches
 
 LONG = 100_000
 BOUNDARY = re.compile(r"(?<=\S)(?=[ \t\n\x0b\f\r])")
@@ -75,6 +77,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id
             column = [ids_of(value.as_py()) for value in batch.column(text)]
             yield _replaced(batch, ids, list_array(column, pa.int32()))
 
+    short_batches(docs.sparkSession)
     return docs.mapInArrow(run, _with_column(docs, ids, T.ArrayType(T.IntegerType())))
 
 
@@ -86,6 +89,7 @@ def decode(docs: DataFrame, rank_file: str, pattern: str, ids: str = "ids", data
             column = [encoding.decode_bytes(value.as_py()) if value.is_valid and len(value) else b"" for value in batch.column(ids)]
             yield _replaced(batch, data, pa.array(column, pa.binary()))
 
+    short_batches(docs.sparkSession)
     return docs.mapInArrow(run, _with_column(docs, data, T.BinaryType()))
 
 

@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,3 +298,28 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_reach_python_in_short_batches(spark):
+    """A task of 4,000 texts sends them in batches, and no column of a batch holds them all; results stay the same."""
+    from linewise.llm import arrow
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["rows"])
+
+    try:
+        spark.conf.set(name, 10_000)
+        docs = spark.range(4_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+        ids = bpe.encode(docs, *VOCABULARY)
+        assert max(r["rows"] for r in ids.mapInArrow(rows, "rows long").collect()) <= arrow.ARROW_ROWS
+        decoded = bpe.decode(ids, *VOCABULARY).where(F.col("decoded") == F.encode("text", "utf-8"))
+        assert decoded.count() == 4_000
+        spark.conf.set(name, 100)
+        bpe.encode(docs, *VOCABULARY)
+        assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, before)
