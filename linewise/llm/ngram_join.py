@@ -284,16 +284,17 @@ def _members_that_meet(deltas: DataFrame, labels: DataFrame, rule: JoinRule) ->
         *group, "id", "own", "size", "delta", "linked", "sketch", F.coalesce("component", "id").alias("component"),
         (plus * F.size("delta") - minus * F.col("size")).cast("long").alias("r"),
     )
-    bounds = named.groupBy(*group).agg(F.min("r").alias("any"), F.min(F.when(~F.col("linked"), F.col("r"))).alias("open"), F.count("*").alias("n"))
-    bounds = bounds.where("open is not null and n > 1")
+    bounds = named.groupBy(*group).agg(F.min("r").alias("any"), F.min(F.when(~F.col("linked"), F.col("r"))).alias("open"), F.min("component").alias("low"), F.max("component").alias("high"))
+    bounds = bounds.where("open is not null and low != high")  # a group inside one component has no pair left to find
     least = F.greatest(F.lit(1), F.ceil((F.col("r") + F.when(F.col("linked"), F.col("open")).otherwise(F.col("any"))) / (2 * plus)))
     members = stored(
-        named.join(bounds, group).withColumn("prefix", (F.size("delta") - least + 1).cast("int")).where("prefix > 0").drop("any", "open", "n")
+        named.join(bounds, group).withColumn("prefix", (F.size("delta") - least + 1).cast("int")).where("prefix > 0").drop("any", "open", "low", "high")
     )
+    # one row for each member and element, never for a pair; one exchange, counted in place, instead of a count and a join back
     elements = members.select(*group, "id", "own", "prefix", F.explode("delta").alias("e"))
-    often = elements.groupBy(*group, "e").agg(F.count("*").alias("n")).where("n > 1")
+    often = elements.withColumn("n", F.count("*").over(Window.partitionBy(*group, "e"))).where("n > 1")
     # elements of one member only are the rarest and meet nobody: they use up the prefix first
-    ranked = elements.join(often, [*group, "e"]).groupBy(*group, "id", "own", "prefix").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("held"))
+    ranked = often.groupBy(*group, "id", "own", "prefix").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("held"))
     light = members.select(*group, "id", "own", "size", "component", "linked", "sketch", "r", F.size("delta").alias("whole"))
     ranked = ranked.join(light, [*group, "id", "own"])
     ranked = ranked.withColumn("keep", F.col("prefix") - (F.col("whole") - F.size("held"))).where("keep > 0")

@@ -178,3 +178,6 @@ def test_members_that_share_passages_but_cannot_link_do_not_meet(spark):
     assert {frozenset((r["id_a"], r["id_b"])) for r in met} == {frozenset((39, 40))}
     links = ngram_join._links_between_members(deltas, labels, rule).collect()
     assert {frozenset(r) for r in links} == {frozenset((39, 40))}
+    linked = spark.createDataFrame([(i, 0) for i in range(41)], "node long, component long")
+    members, met = ngram_join._members_that_meet(deltas, linked, rule)
+    assert (members.count(), met.count()) == (0, 0)  # all in one component already: no element is counted
