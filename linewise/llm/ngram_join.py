@@ -40,10 +40,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewise.llm.arrow import GOLD, MIX1, WordHashes, hash_runs, list_array, mixed, small_batches
+from linewise.llm.arrow import GOLD, MIX1, WordHashes, hash_runs, list_array, mixed, packed_text, small_batches, unpacked_text
 from linewise.llm.graph import components
 from linewise.llm.joins import near_side
-from linewise.session import stored
+from linewise.session import released, stored
 
 PIVOT_ROWS = 5_000        # partners of one pivot in one group of rows
 CALL_ROWS = 1_000         # pairs of one document in one row
@@ -202,8 +202,8 @@ def _differences(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame
 
     far pairs (less than half alike, and at a distance above twice that of a link) have no delta and no sketch of it; members that are not linked have 64 shingle counts, four to a number.
 
-    base and own name the two sets, for ids with several texts. Each set travels once per pair; a pivot with
-    many partners is split.
+    base and own name the two sets, for ids with several texts. Each text travels once per pair, packed: its set would take
+    about three times the bytes; a pivot with many partners is split. What is given back reads tables stored here.
     """
     salted = stored(_parted(pairs, "pivot", "other", PIVOT_ROWS))
     calls = salted.select(F.col("other").alias("id"), "pivot", "part", F.lit(False).alias("leads")).union(
@@ -220,14 +220,13 @@ def _differences(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame
     def made(out: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["pivot", "part", "follows", "id", "data"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 64):
             out, held = [[], [], [], [], []], 0
             for id_, text, calls_ in zip(
                 batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("calls").to_pylist(), strict=True
             ):
-                data = shingles(text, rule.words, known).tobytes()
+                data = packed_text(text)
                 for call in calls_:
                     for column, value in zip(out, (call["pivot"], call["part"], not call["leads"], id_, data), strict=True):
                         column.append(value)
@@ -238,17 +237,18 @@ def _differences(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame
             yield made(out)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leads = None, []  # the sets of the pivot's rows come first in the group
+        group, leads, known = None, [], WordHashes()  # the sets of the pivot's rows come first in the group
         name = lambda data: int(np.frombuffer(xxhash.xxh3_64_digest(data), np.int64)[0])
         kinds, none = (*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), *[pa.list_(pa.int64())] * 2), np.zeros(0, np.int64)
         for batch in small_batches(batches):
             out = []
             for pivot, part, follows, id_, data in zip(*[batch.column(n).to_pylist() for n in ("pivot", "part", "follows", "id", "data")], strict=True):
-                hashes = np.frombuffer(data, np.uint64)
+                hashes = shingles(unpacked_text(data), rule.words, known)
                 if (pivot, part) != group:
                     group, leads = (pivot, part), []
+                own = name(hashes.tobytes())
                 if not follows:
-                    leads.append((name(data), hashes))
+                    leads.append((own, hashes))
                     continue
                 for base, lead in leads:
                     delta = np.setxor1d(lead, hashes, assume_unique=True)
@@ -257,12 +257,12 @@ def _differences(docs: DataFrame, pairs: DataFrame, rule: JoinRule) -> DataFrame
                     far = not linked and 100 * len(delta) > apart * (len(lead) + len(hashes) - common)
                     counts = none if linked else np.minimum(np.bincount((hashes % np.uint64(64)).astype(np.int64), minlength=64), 32_767).astype("<i2").view(np.int64)
                     kept, sketch = (none, none) if far else (delta.view(np.int64), odd_sketch(delta, len(lead)))
-                    out.append((pivot, base, id_, name(data), len(hashes), kept, linked, far, counts, sketch))
+                    out.append((pivot, base, id_, own, len(hashes), kept, linked, far, counts, sketch))
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
             arrays = [list_array(list(c), pa.int64()) if k == kinds[5] else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=["pivot", "base", "id", "own", "size", "delta", "linked", "far", "counts", "sketch"])
 
-    sent = asked.mapInArrow(sets, "pivot long, part int, follows boolean, id long, data binary")
+    sent = asked.mapInArrow(texts, "pivot long, part int, follows boolean, id long, data binary")
     grouped = sent.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "follows")
     return grouped.mapInArrow(
         check, "pivot long, base long, id long, own long, size int, delta array<long>, linked boolean, far boolean, counts array<long>, sketch array<long>"
@@ -432,11 +432,13 @@ def similar_groups(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     whole = Window.partitionBy("signature")
     postings = _postings(leads, rule, limits, plans)
     met = postings.withColumn("n", F.count("*").over(whole)).withColumn("owned", F.max("own").over(whole)).where("n > 1 and owned").drop("n", "owned")
-    met = stored(met.select("signature", F.col("doc_id").alias("id"), "own").distinct())
-    crowd = met.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(met.join(crowd, "signature"))
-    central = met.groupBy("id").agg(F.sum("n").alias("company"))
-    met = stored(met.join(central, "id").select("signature", "id", "own", "company"))
+    shared = stored(met.select("signature", F.col("doc_id").alias("id"), "own").distinct())
+    crowd = shared.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = stored(shared.join(crowd, "signature"))
+    released(shared)
+    central = crowded.groupBy("id").agg(F.sum("n").alias("company"))
+    met = stored(crowded.join(central, "id").select("signature", "id", "own", "company"))
+    released(crowded)
 
     pivots = met.where("own").groupBy("signature").agg(F.max(F.struct("company", "id")).alias("p"))
     first = met.join(pivots, "signature").select(F.col("p.id").alias("pivot"), F.col("id").alias("other"))
@@ -450,6 +452,7 @@ def similar_groups(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     more = stored(more)
     if not more.isEmpty():
         labels = components(links.union(more))
+    released(met, pairs, deltas, far, more)
     follows = sizes.join(led.withColumnRenamed("doc_id", "led"), F.col("doc_id") == F.col("led"), "left").withColumn("stands_for", F.coalesce("lead", "doc_id"))
     return follows.join(labels, F.col("stands_for") == labels["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "stands_for").alias("component_id")

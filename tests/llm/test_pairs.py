@@ -1,13 +1,18 @@
 """N-gram join, substring dedup and components against brute force."""
 
 import hashlib
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from linewise import session
 from linewise.llm import graph, ngram_join, substring_dedup
+from linewise.llm.arrow import WordHashes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -181,3 +186,42 @@ def test_members_that_share_passages_but_cannot_link_do_not_meet(spark):
     linked = spark.createDataFrame([(i, 0) for i in range(41)], "node long, component long")
     members, met = ngram_join._members_that_meet(deltas, linked, rule)
     assert (members.count(), met.count()) == (0, 0)  # all in one component already: no element is counted
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(k).getName() for k in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_shuffle_files_and_released_tables_leave_the_disk(spark):
+    """Before, shuffle files stayed until the driver's next garbage collection and stored tables until its end."""
+    held = _shuffle_files(spark)
+    setting = spark.conf.get(session._CLEANUP)
+    table = session.stored(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    ends = time.time() + 20
+    while _shuffle_files(spark) - held and time.time() < ends:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - held
+    assert table.count() == 7 and spark.conf.get(session._CLEANUP) == setting
+    session.released(table)
+    with pytest.raises(Exception):  # noqa: B017
+        table.count()
+
+
+def test_postings_and_differences_are_not_kept(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(ngram_join, "stored", lambda df: kept.setdefault(len(kept), session.stored(df)))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1:]])) for i in range(30)]
+    groups = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.JoinRule(1, 80))
+    left = [table.columns for table in kept.values() if os.path.exists(table._linewise_path.removeprefix("file:"))]
+    assert len(left) < len(kept) and not [c for c in left if {"signature", "delta"} & set(c) and "prefix" not in c and "blocks" not in c]
+    assert {r["component_id"] for r in groups.collect()} == {0}
+
+
+def test_a_text_travels_in_fewer_bytes_than_its_set():
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["belt", "station", "camera", "defect", "carrier", "of", "the", "line"]) + str(rng.randrange(40)) for _ in range(500)).encode()
+    packed = ngram_join.packed_text(text)
+    assert 2 * len(packed) < ngram_join.shingles(text, 5, WordHashes()).nbytes
+    assert [ngram_join.unpacked_text(ngram_join.packed_text(t)) for t in (text, b"", None, "é\n".encode())] == [text, b"", b"", "é\n".encode()]
